@@ -51,7 +51,7 @@ def _stretches(vocabulary: dict[str, int], keys: dict[int, np.ndarray], reach: i
     """(id, stretch, grams, words) of each document with an n-gram of an item."""
 
     def run(batches):
-        number = vocabulary.get
+        number, least = vocabulary.get, min(keys)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
@@ -59,13 +59,14 @@ def _stretches(vocabulary: dict[str, int], keys: dict[int, np.ndarray], reach: i
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     words = words_of(text)
                     known = np.fromiter((number(w, 0) for w in words), np.int64, len(words))
-                    if not known.any():
+                    if np.count_nonzero(known) < least:
                         continue
                     hits = []
                     for n, wanted in keys.items():
                         k = gram_keys(known, n)
                         spot = np.flatnonzero(k)
-                        spot = spot[np.isin(k[spot], wanted)]
+                        place = np.minimum(np.searchsorted(wanted, k[spot]), len(wanted) - 1)
+                        spot = spot[wanted[place] == k[spot]]
                         hits += zip(spot.tolist(), k[spot].tolist(), strict=True)
                     hits.sort()
                     # hits closer than a passage share a stretch
