@@ -1,0 +1,26 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+from oracle import compare, connect
+
+from vellum.llm import queries as plans
+
+QUERIES, SQL = plans.queries(), plans.sql()
+
+
+@pytest.fixture(scope="module")
+def con(folder):
+    return connect(folder)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, folder, con, name):
+    compare(spark, folder, con, QUERIES[name], SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"p3_found"}))
+def test_query_without_sql_gives_rows(spark, folder, name):
+    assert QUERIES[name](spark, folder).count() > 0

@@ -3,7 +3,8 @@
 The graph starts from exact neighbours within the shards of two differently seeded vantage-point routings, so that
 the lists cross shard borders; rounds of neighbour descent then compare the neighbours of every vector with
 each other. Communities grow by synchronous local moves of greatest modularity gain, half of the nodes in a
-turn, over two levels of the graph.
+turn, over two levels of the graph. What the bounded neighbour lists may lack, links between two components
+whose rows have full lists, is then searched for exactly.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.components import hash_to_min
 from vellum.llm.neighbours import _homes
-from vellum.llm.vectors import VantageTree, folded_copies, from_binary, to_binary, unit_vectors
+from vellum.llm.vectors import VantageTree, distance, folded_copies, from_binary, to_binary, unit_vectors
 from vellum.runtime import discard, fan_out, settle
 
 NEIGHBOURS = 8
@@ -28,6 +31,7 @@ ROUNDS = 2
 LINK = 0.8
 LEVELS = 2
 MOVES = 4
+BALLS, ROWS_A_TASK = 4096, 16384  # components and rows that meet in one task of the search for missing links
 HALF_ERROR = 0.004  # float16 cosines are off by far less; links this near the threshold are measured again
 
 
@@ -198,6 +202,75 @@ def communities(links: DataFrame, levels: int = LEVELS, moves: int = MOVES) -> D
     return placed
 
 
+def bridges(edges: DataFrame, placed: DataFrame, reps: DataFrame, dim: int, k: int = NEIGHBOURS, least: float = LINK) -> DataFrame | None:
+    """(ca, cb): components of ``placed`` (rep, component) that a link missing from the neighbour lists joins; None if there can't be any.
+
+    A list that is full with links may lack further ones, so a link between two such rows can be missing. All full rows
+    are held against the balls (mean, radius) of the other components of full rows, in blocks; a row that comes within
+    link distance of a ball is compared with all full rows in it. The triangle inequality makes this exact.
+    """
+    full = edges.groupBy(F.col("v").alias("rep")).agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("c")).where((F.col("n") >= k) & (F.col("c") >= least - HALF_ERROR)).select("rep")
+    members = settle(full.join(placed, "rep").join(reps, "rep").select(F.col("rep").alias("id"), F.col("component").alias("comp"), "vec"))
+    n_comp, n_rows = members.agg(F.count_distinct("comp"), F.count(F.lit(1))).first()
+    if n_comp < 2:
+        return None
+
+    def partial_sums(batches):
+        for b in batches:
+            x, comp = from_binary(b.column("vec"), dim).astype(np.float64), b.column("comp").to_numpy()
+            names, at = np.unique(comp, return_inverse=True)
+            total = np.zeros((len(names), dim))
+            np.add.at(total, at, x)
+            yield pa.record_batch([pa.array(names), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(np.bincount(at, minlength=len(names)).astype(np.int64))], names=["comp", "s", "n"])
+
+    sums = members.select("comp", "vec").mapInArrow(partial_sums, "comp long, s array<double>, n long").groupBy("comp").agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n"))
+    means = sums.select("comp", F.transform(vector_to_array("s"), lambda x: x / F.col("n")).alias("mean"), "n")
+
+    def spread(batches):
+        for b in batches:
+            x, m = from_binary(b.column("vec"), dim).astype(np.float64), np.array(b.column("mean").to_pylist()).reshape(-1, dim)
+            yield pa.record_batch([b.column("comp"), pa.array(np.sqrt(((x - m) ** 2).sum(1)))], names=["comp", "d"])
+
+    radii = members.join(means, "comp").select("comp", "vec", "mean").mapInArrow(spread, "comp long, d double").groupBy("comp").agg(F.max("d").alias("radius"))
+    balls = settle(means.join(radii, "comp").select("comp", "mean", "radius", "n"))
+    b_blocks, m_blocks = -(-n_comp // BALLS), -(-n_rows // ROWS_A_TASK)
+    dealt = members.select("id", "comp", "vec", F.pmod(F.xxhash64("id"), F.lit(m_blocks)).alias("mb"), F.explode(F.sequence(F.lit(0), F.lit(b_blocks - 1))).alias("bb"))
+    held = balls.select("comp", "mean", "radius", F.pmod(F.xxhash64("comp"), F.lit(b_blocks)).cast("int").alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m_blocks - 1).cast("long"))).alias("mb"))
+    reach = distance(least) + 1e-4
+
+    def near_balls(rows: pa.Table, targets: pa.Table) -> pa.Table:
+        out = [], []
+        if len(rows) and len(targets):
+            m, r, names = np.array(targets["mean"].to_pylist()), targets["radius"].to_numpy(), targets["comp"].to_numpy()
+            x, comp, ids = from_binary(rows["vec"], dim).astype(np.float64), rows["comp"].to_numpy(), rows["id"].to_numpy()
+            for a in range(0, len(x), 1024):
+                d2 = 1 + (m * m).sum(1)[None] - 2 * x[a : a + 1024] @ m.T
+                i, j = np.nonzero((d2 <= (reach + r)[None] ** 2) & (comp[a : a + 1024][:, None] != names[None]))
+                out[0].append(ids[a + i])
+                out[1].append(names[j])
+        return pa.table({"id": pa.array(np.concatenate(out[0]) if out[0] else [], pa.int64()), "target": pa.array(np.concatenate(out[1]) if out[1] else [], pa.int64())})
+
+    close = settle(dealt.groupBy("mb", "bb").cogroup(held.groupBy("mb", "bb")).applyInArrow(near_balls, "id long, target long"))
+    if not close.limit(1).count():
+        return None
+    parts = balls.select(F.col("comp").alias("target"), F.ceil(F.col("n") / ROWS_A_TASK).alias("parts"))
+    asked = settle(close.join(members, "id").join(parts, "target").select("target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("comp").alias("from"), "vec"))
+    inside = members.join(parts, F.col("comp") == F.col("target")).join(close.select("target").distinct(), "target", "left_semi").select("target", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "vec")
+
+    def meet(rows: pa.Table, ball: pa.Table) -> pa.Table:
+        found: set[tuple[int, int]] = set()
+        if len(rows) and len(ball):
+            x, y = from_binary(rows["vec"], dim).astype(np.float64), from_binary(ball["vec"], dim).astype(np.float64)
+            target, sources = ball["target"][0].as_py(), rows["from"].to_numpy()
+            for a in range(0, len(x), 512):
+                hit = (x[a : a + 512] @ y.T >= least).any(1)
+                found |= {(int(c), target) for c in sources[a : a + 512][hit]}
+        pairs = sorted(found)
+        return pa.table({"ca": pa.array([p[0] for p in pairs], pa.int64()), "cb": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return settle(asked.groupBy("target", "part").cogroup(inside.groupBy("target", "part")).applyInArrow(meet, "ca long, cb long").distinct())
+
+
 def similarity_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: float = LINK) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (row_id, rep, community, cluster_id), links (a, b, w) between representatives of copies.
 
@@ -211,12 +284,17 @@ def similarity_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: f
     if not copies.limit(1).count():
         s = df.sparkSession
         return s.createDataFrame([], f"`{row_id}` long, rep long, community long, cluster_id long"), s.createDataFrame([], "a long, b long, w double")
-    links = links_above(neighbour_graph(reps, dim), reps, dim, least)
+    edges = neighbour_graph(reps, dim)
+    links = links_above(edges, reps, dim, least)
     found = communities(links)
     ends = links.join(found.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(found.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
     joined = hash_to_min(ends.select("ca", "cb").distinct(), "ca", "cb").select(F.col("node").alias("community"), "component")
     tied = found.join(joined, "community").select("node", "community", "component")
     named = settle(reps.select("rep").join(tied, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("community", "rep").alias("community"), F.coalesce("component", "rep").alias("component")))
+    more = bridges(edges, named.select("rep", "component"), reps, dim, NEIGHBOURS, least)
+    if more is not None:
+        merged = hash_to_min(more, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        named = settle(named.join(merged, "component", "left").select("rep", "community", F.coalesce("whole", "component").alias("component")))
     least_id = named.groupBy("component").agg(F.min("rep").alias("cluster_id"))
     whole = copies.join(named.join(least_id, "component"), "rep")
     return whole.select(F.col("id").alias(row_id), "rep", "community", "cluster_id"), links
