@@ -3,8 +3,8 @@
 The graph starts from exact neighbours within the shards of two differently seeded vantage-point routings, so that
 the lists cross shard borders; rounds of neighbour descent then compare the neighbours of every vector with
 each other. Communities grow by synchronous local moves of greatest modularity gain, half of the nodes in a
-turn, over two levels of the graph. What the bounded neighbour lists may lack, links between two components
-whose rows have full lists, is then searched for exactly.
+turn, over two levels of the graph. Links to components of two or more rows which the neighbour lists may lack
+are then searched for exactly.
 """
 
 from __future__ import annotations
@@ -202,17 +202,18 @@ def communities(links: DataFrame, levels: int = LEVELS, moves: int = MOVES) -> D
     return placed
 
 
-def bridges(edges: DataFrame, placed: DataFrame, reps: DataFrame, dim: int, k: int = NEIGHBOURS, least: float = LINK) -> DataFrame | None:
-    """(ca, cb): components of ``placed`` (rep, component) that a link missing from the neighbour lists joins; None if there can't be any.
+def bridges(placed: DataFrame, reps: DataFrame, dim: int, least: float = LINK) -> DataFrame | None:
+    """(ca, cb): components of ``placed`` (rep, component) that a link missing from the neighbour lists joins; None if there is none.
 
-    A list that is full with links may lack further ones, so a link between two such rows can be missing. All full rows
-    are held against the balls (mean, radius) of the other components of full rows, in blocks; a row that comes within
-    link distance of a ball is compared with all full rows in it. The triangle inequality makes this exact.
+    A bounded or approximate list may lack links. Every row is held against the balls (mean, radius) of the other components of
+    two or more rows, in blocks; a row that comes within link distance of a ball is compared with all rows in it. The
+    triangle inequality makes this exact: only a link between two rows that both have no link at all can still be missed.
     """
-    full = edges.groupBy(F.col("v").alias("rep")).agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("c")).where((F.col("n") >= k) & (F.col("c") >= least - HALF_ERROR)).select("rep")
-    members = settle(full.join(placed, "rep").join(reps, "rep").select(F.col("rep").alias("id"), F.col("component").alias("comp"), "vec"))
-    n_comp, n_rows = members.agg(F.count_distinct("comp"), F.count(F.lit(1))).first()
-    if n_comp < 2:
+    members = settle(placed.join(reps, "rep").select(F.col("rep").alias("id"), F.col("component").alias("comp"), "vec"))
+    n_rows = members.count()
+    many = settle(members.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    n_comp = many.count()
+    if not n_comp:
         return None
 
     def partial_sums(batches):
@@ -223,7 +224,7 @@ def bridges(edges: DataFrame, placed: DataFrame, reps: DataFrame, dim: int, k: i
             np.add.at(total, at, x)
             yield pa.record_batch([pa.array(names), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(np.bincount(at, minlength=len(names)).astype(np.int64))], names=["comp", "s", "n"])
 
-    sums = members.select("comp", "vec").mapInArrow(partial_sums, "comp long, s array<double>, n long").groupBy("comp").agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n"))
+    sums = members.join(many.select("comp"), "comp", "left_semi").select("comp", "vec").mapInArrow(partial_sums, "comp long, s array<double>, n long").groupBy("comp").agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n"))
     means = sums.select("comp", F.transform(vector_to_array("s"), lambda x: x / F.col("n")).alias("mean"), "n")
 
     def spread(batches):
@@ -284,14 +285,13 @@ def similarity_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: f
     if not copies.limit(1).count():
         s = df.sparkSession
         return s.createDataFrame([], f"`{row_id}` long, rep long, community long, cluster_id long"), s.createDataFrame([], "a long, b long, w double")
-    edges = neighbour_graph(reps, dim)
-    links = links_above(edges, reps, dim, least)
+    links = links_above(neighbour_graph(reps, dim), reps, dim, least)
     found = communities(links)
     ends = links.join(found.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(found.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
     joined = hash_to_min(ends.select("ca", "cb").distinct(), "ca", "cb").select(F.col("node").alias("community"), "component")
     tied = found.join(joined, "community").select("node", "community", "component")
     named = settle(reps.select("rep").join(tied, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("community", "rep").alias("community"), F.coalesce("component", "rep").alias("component")))
-    more = bridges(edges, named.select("rep", "component"), reps, dim, NEIGHBOURS, least)
+    more = bridges(named.select("rep", "component"), reps, dim, least)
     if more is not None:
         merged = hash_to_min(more, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("whole"))
         named = settle(named.join(merged, "component", "left").select("rep", "community", F.coalesce("whole", "component").alias("component")))
