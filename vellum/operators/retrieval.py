@@ -7,6 +7,8 @@ each of them the gallery rows ranked before it, and the counts of the blocks add
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -47,19 +49,24 @@ def _ahead(t: pa.Table) -> pa.Table:
     if len(q) and len(g):
         gi, junk = g["id"].to_numpy(), g["junk"].to_numpy()
         s = np.round(_matrix(q["vec"]) @ _matrix(g["vec"]).T, DIGITS)
-        for row, (me, marks) in enumerate(zip(q["id"].to_pylist(), q["marks"].to_pylist(), strict=True)):
+        marks = q["marks"].combine_chunks()
+        ends = np.append(0, np.cumsum(marks.value_lengths().to_numpy()))
+        flat = marks.flatten()
+        gids, sims = flat.field("gid").to_numpy(), flat.field("sim").to_numpy()
+        for row, me in enumerate(q["id"].to_numpy()):
             order = np.lexsort((gi, -s[row]))
             order = order[gi[order] != me]
             key, ids = -s[row][order], gi[order]
             dirty = np.concatenate([[0], np.cumsum(junk[order])])
-            for m in marks:
-                lo, hi = np.searchsorted(key, -m["sim"], "left"), np.searchsorted(key, -m["sim"], "right")
-                n = lo + np.searchsorted(ids[lo:hi], m["gid"], "left")
-                out["qid"].append(me)
-                out["gid"].append(m["gid"])
-                out["ahead"].append(int(n))
-                out["junk_ahead"].append(int(dirty[n]))
-    return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+            gid, sim = gids[ends[row] : ends[row + 1]], -sims[ends[row] : ends[row + 1]]
+            lo, hi = np.searchsorted(key, sim, "left"), np.searchsorted(key, sim, "right")
+            n = lo.copy()
+            for i in np.flatnonzero(hi > lo):
+                # equal similarities are few: the ids before the mark's among them
+                n[i] += ids[lo[i]] < gid[i] if hi[i] - lo[i] == 1 else np.searchsorted(ids[lo[i] : hi[i]], gid[i])
+            for name, values in zip(out, (np.full(len(gid), me), gid, n, dirty[n]), strict=True):
+                out[name].append(values)
+    return pa.table({k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in out.items()})
 
 
 def relevant_ranks(rows: DataFrame, row: str, vec: str, label: str, junk: Column | None = None, group: str | None = None) -> DataFrame:
@@ -71,7 +78,9 @@ def relevant_ranks(rows: DataFrame, row: str, vec: str, label: str, junk: Column
     """
     lean = rows.where(F.col(label).isNotNull() & F.col(vec).isNotNull()).select(F.col(row).cast("long").alias("id"), doubles(vec).alias("vec"), F.col(label).cast("string").alias("label"), (F.coalesce(junk, F.lit(False)) if junk is not None else F.lit(False)).alias("junk"), (F.col(group).cast("string") if group else F.lit("")).alias("grp"))
     lean = settle(lean)
-    n = max(1, -(-lean.count() // BLOCK))
+    rows_in_all = lean.count()
+    # blocks small enough for memory, and pairs of blocks enough for the cores
+    n = max(1, -(-rows_in_all // BLOCK), min(-(-rows_in_all // 256), math.ceil(math.sqrt(2 * rows.sparkSession.sparkContext.defaultParallelism))))
     pairs = settle(_blocks(lean, lean, n).groupBy("grp", "qb", "gb").applyInArrow(_relevant, "qid long, gid long, sim double"))
     marks = pairs.groupBy(F.col("qid").alias("id")).agg(F.collect_list(F.struct("gid", "sim")).alias("marks"))
     asking = lean.join(marks, "id")
