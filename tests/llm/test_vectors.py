@@ -96,3 +96,39 @@ def test_modularity_separates_two_cliques(spark):
     got = {r["node"]: r["community"] for r in clusters.communities(spark.createDataFrame(links, "a long, b long, w double"), moves=8).collect()}
     assert len({got[i] for i in range(6)} & {got[i] for i in range(10, 16)}) == 0
     assert clusters.communities(spark.createDataFrame([], "a long, b long, w double")).count() == 0
+
+
+def single_linkage(u, least):
+    par = np.arange(len(u))
+    while True:
+        nxt = np.array([par[row].min() for row in u @ u.T >= least])
+        if (nxt == par).all():
+            return par.tolist()
+        par = nxt
+
+
+def test_links_that_no_neighbour_list_holds(spark, monkeypatch):
+    """A hot vector with a row linked to it alone, and a chain of single rows, without any list to start from."""
+    monkeypatch.setattr(clusters, "neighbour_graph", lambda reps, *_: spark.createDataFrame([], "v long, u long, cos float"))
+    monkeypatch.setattr(clusters, "ROWS_A_TASK", 16)
+    flat = np.zeros((6, DIM))
+    for i, angle in enumerate((0.0, 0.5, 0.0, 0.5, 1.0, 1.5)):
+        flat[i, 2 * (i > 1) : 2 * (i > 1) + 2] = np.cos(angle), np.sin(angle)
+    x = np.vstack([flat, np.repeat(flat[:1], 300, axis=0), np.random.default_rng(8).normal(size=(60, DIM))])
+    rows, _ = clusters.similarity_clusters(frame(spark, x), "row_id", "vec", DIM, 0.85)
+    got = {r["row_id"]: r["cluster_id"] for r in rows.collect()}
+    want = single_linkage(unit(x), 0.85)
+    assert got == dict(enumerate(want)) and want[1] == 0 and want[5] == want[2]
+
+
+def test_links_between_parts_of_a_cluster(spark, monkeypatch):
+    """Components of several rows, of which some are joined by links and some by single rows between them."""
+    monkeypatch.setattr(clusters, "MEET_ROWS", 8)
+    u = unit(data(9, 6, 20)).astype(np.float32)
+    reps = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(u)], "rep long, vec binary")
+    part = [i if i % 5 == 0 else i - i % 20 + i % 2 + 1 for i in range(len(u))]
+    part = [min(j for j in range(len(u)) if part[j] == p) for p in part]
+    placed = spark.createDataFrame(list(enumerate(part)), "rep long, component long")
+    s = u.astype(np.float64) @ u.T.astype(np.float64)
+    got = [(r["a"], r["b"]) for r in clusters.bridges(placed, reps, DIM, 0.9).collect()]
+    assert sorted(got) == [(a, b) for a in range(len(u)) for b in range(a + 1, len(u)) if s[a, b] >= 0.9 and part[a] != part[b]]

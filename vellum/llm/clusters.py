@@ -3,8 +3,8 @@
 The graph starts from exact neighbours within the shards of two differently seeded vantage-point routings, so that
 the lists cross shard borders; rounds of neighbour descent then compare the neighbours of every vector with
 each other. Communities grow by synchronous local moves of greatest modularity gain, half of the nodes in a
-turn, over two levels of the graph. Links to components of two or more rows which the neighbour lists may lack
-are then searched for exactly.
+turn, over two levels of the graph. Links between components which the neighbour lists may lack are searched for
+exactly before that.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ LINK = 0.8
 LEVELS = 2
 MOVES = 4
 BALLS, ROWS_A_TASK = 4096, 16384  # components and rows that meet in one task of the search for missing links
+MEET_ROWS = 2048  # rows of either side that are compared in one task, all of whose pairs may be links
 HALF_ERROR = 0.004  # float16 cosines are off by far less; links this near the threshold are measured again
 
 
@@ -203,18 +204,63 @@ def communities(links: DataFrame, levels: int = LEVELS, moves: int = MOVES) -> D
 
 
 def bridges(placed: DataFrame, reps: DataFrame, dim: int, least: float = LINK) -> DataFrame | None:
-    """(ca, cb): components of ``placed`` (rep, component) that a link missing from the neighbour lists joins; None if there is none.
+    """(a, b, w), a < b: every link of cosine >= ``least`` between two components of ``placed`` (rep, component); None if there is none.
 
     A bounded or approximate list may lack links. Every row is held against the balls (mean, radius) of the other components of
-    two or more rows, in blocks; a row that comes within link distance of a ball is compared with all rows in it. The
-    triangle inequality makes this exact: only a link between two rows that both have no link at all can still be missed.
+    two or more rows, in blocks; a row that comes within link distance of a ball is compared with all rows in it. Rows that
+    are a component alone are compared with each other, block by block. So one pass sees every pair of components, exactly.
     """
     members = settle(placed.join(reps, "rep").select(F.col("rep").alias("id"), F.col("component").alias("comp"), "vec"))
-    n_rows = members.count()
-    many = settle(members.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    n_comp = many.count()
-    if not n_comp:
+    sizes = settle(members.groupBy("comp").agg(F.count(F.lit(1)).alias("n")))
+    n_rows, n_alone, n_many = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") > 1)).first()
+    parts = []
+    if n_alone > 1:
+        alone = members.join(sizes.where("n = 1").select("comp"), "comp", "left_semi").select("id", "vec")
+        parts.append(_links_of_single_rows(alone, n_alone, dim, least))
+    if n_many:
+        parts.append(_links_into_balls(members, sizes.where("n > 1"), n_rows, n_many, dim, least))
+    if not parts:
         return None
+    # a link between two balls is met from both sides
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    found = settle(found.groupBy("a", "b").agg(F.max("w").alias("w")))
+    return found if found.limit(1).count() else None
+
+
+def _met(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, once: bool = False) -> pa.Table:
+    """The links between rows of x and y; with ``once`` only those whose left id is the smaller."""
+    out: list = []
+    for at in range(0, len(x), 512):
+        # float32 finds the pairs near the threshold or above, float64 decides
+        i, j = np.nonzero(x[at : at + 512] @ y.T >= least - 1e-4)
+        i += at
+        if once:
+            i, j = i[left[i] < right[j]], j[left[i] < right[j]]
+        for lo in range(0, len(i), 1 << 16):
+            p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+            w = (x[p].astype(np.float64) * y[q]).sum(1)
+            p, q, w = p[w >= least], q[w >= least], w[w >= least]
+            out.append((np.minimum(left[p], right[q]), np.maximum(left[p], right[q]), w))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "w"])
+
+
+def _links_of_single_rows(alone: DataFrame, n: int, dim: int, least: float) -> DataFrame:
+    """(a, b, w) between any two of the rows (id, vec)."""
+    blocks = -(-n // ROWS_A_TASK)
+    dealt = alone.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    first = dealt.select("id", "vec", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("j"))
+    second = dealt.select(F.col("id").alias("other"), F.col("vec").alias("there"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
+
+    def meet(rows: pa.Table, others: pa.Table) -> pa.Table:
+        same = bool(len(rows)) and rows["i"][0].as_py() == rows["j"][0].as_py()
+        return _met(from_binary(rows["vec"], dim), from_binary(others["there"], dim), rows["id"].to_numpy(), others["other"].to_numpy(), least, same)
+
+    return first.groupBy("i", "j").cogroup(second.groupBy("i", "j")).applyInArrow(meet, "a long, b long, w double")
+
+
+def _links_into_balls(members: DataFrame, many: DataFrame, n_rows: int, n_comp: int, dim: int, least: float) -> DataFrame:
+    """(a, b, w) between any row of members (id, comp, vec) and the rows of another component of ``many`` (comp, n)."""
 
     def partial_sums(batches):
         for b in batches:
@@ -252,52 +298,48 @@ def bridges(placed: DataFrame, reps: DataFrame, dim: int, least: float = LINK) -
         return pa.table({"id": pa.array(np.concatenate(out[0]) if out[0] else [], pa.int64()), "target": pa.array(np.concatenate(out[1]) if out[1] else [], pa.int64())})
 
     close = settle(dealt.groupBy("mb", "bb").cogroup(held.groupBy("mb", "bb")).applyInArrow(near_balls, "id long, target long"))
-    if not close.limit(1).count():
-        return None
-    parts = balls.select(F.col("comp").alias("target"), F.ceil(F.col("n") / ROWS_A_TASK).alias("parts"))
-    asked = settle(close.join(members, "id").join(parts, "target").select("target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("comp").alias("from"), "vec"))
-    inside = members.join(parts, F.col("comp") == F.col("target")).join(close.select("target").distinct(), "target", "left_semi").select("target", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "vec")
+    counts = close.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / MEET_ROWS).alias("pieces"))
+    cuts = settle(counts.join(balls.select(F.col("comp").alias("target"), F.ceil(F.col("n") / MEET_ROWS).alias("parts")), "target"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    asked = close.join(members.select("id", "vec"), "id").join(cuts, "target").select("target", upto("parts").alias("part"), F.pmod(F.xxhash64("id"), F.col("pieces")).alias("piece"), "id", "vec")
+    inside = members.join(cuts, F.col("comp") == F.col("target")).select("target", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), upto("pieces").alias("piece"), F.col("id").alias("other"), F.col("vec").alias("there"))
 
     def meet(rows: pa.Table, ball: pa.Table) -> pa.Table:
-        found: set[tuple[int, int]] = set()
-        if len(rows) and len(ball):
-            x, y = from_binary(rows["vec"], dim).astype(np.float64), from_binary(ball["vec"], dim).astype(np.float64)
-            target, sources = ball["target"][0].as_py(), rows["from"].to_numpy()
-            for a in range(0, len(x), 512):
-                hit = (x[a : a + 512] @ y.T >= least).any(1)
-                found |= {(int(c), target) for c in sources[a : a + 512][hit]}
-        pairs = sorted(found)
-        return pa.table({"ca": pa.array([p[0] for p in pairs], pa.int64()), "cb": pa.array([p[1] for p in pairs], pa.int64())})
+        return _met(from_binary(rows["vec"], dim), from_binary(ball["there"], dim), rows["id"].to_numpy(), ball["other"].to_numpy(), least)
 
-    return settle(asked.groupBy("target", "part").cogroup(inside.groupBy("target", "part")).applyInArrow(meet, "ca long, cb long").distinct())
+    keys = ["target", "part", "piece"]
+    return asked.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(meet, "a long, b long, w double")
 
 
-def similarity_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: float = LINK) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows (row_id, rep, community, cluster_id), links (a, b, w) between representatives of copies.
+def linked_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: float = LINK) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): rows (row_id, rep, cluster_id), links (a, b, w) between representatives of copies.
 
-    Every usable row has a community (its own rep where it has no link) and a cluster: communities joined by a link of cosine >= ``least``,
-    directly or through others; cluster_id is the cluster's smallest row_id. Exact copies are one node of the graph and share
-    everything. Unusable vectors (null, other length, a null, NaN or infinite element, all zero) are left out; repeated
-    ids stand as they are; an empty table gives no rows; extra columns are pruned.
+    A cluster is all that links of cosine >= ``least`` join, directly or through others; cluster_id is its smallest row_id.
+    The links are the neighbour graph's. Exact copies are one node of the graph and share everything. Unusable vectors (null, other length, a null, NaN or infinite element,
+    all zero) are left out; repeated ids stand as they are; an empty table gives no rows; extra columns are pruned.
     """
     reps, copies = folded_copies(unit_vectors(df, row_id, vec, dim))
     copies = settle(copies)
     if not copies.limit(1).count():
         s = df.sparkSession
-        return s.createDataFrame([], f"`{row_id}` long, rep long, community long, cluster_id long"), s.createDataFrame([], "a long, b long, w double")
+        return s.createDataFrame([], f"`{row_id}` long, rep long, cluster_id long"), s.createDataFrame([], "a long, b long, w double")
     links = links_above(neighbour_graph(reps, dim), reps, dim, least)
-    found = communities(links)
-    ends = links.join(found.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(found.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
-    joined = hash_to_min(ends.select("ca", "cb").distinct(), "ca", "cb").select(F.col("node").alias("community"), "component")
-    tied = found.join(joined, "community").select("node", "community", "component")
-    named = settle(reps.select("rep").join(tied, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("community", "rep").alias("community"), F.coalesce("component", "rep").alias("component")))
-    more = bridges(named.select("rep", "component"), reps, dim, least)
+    named = settle(reps.select("rep").join(hash_to_min(links, "a", "b").withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
+    more = bridges(named, reps, dim, least)
     if more is not None:
-        merged = hash_to_min(more, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("whole"))
-        named = settle(named.join(merged, "component", "left").select("rep", "community", F.coalesce("whole", "component").alias("component")))
-    least_id = named.groupBy("component").agg(F.min("rep").alias("cluster_id"))
-    whole = copies.join(named.join(least_id, "component"), "rep")
-    return whole.select(F.col("id").alias(row_id), "rep", "community", "cluster_id"), links
+        ends = more.join(named.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(named.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
+        merged = hash_to_min(ends.select("ca", "cb").distinct(), "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        named = settle(named.join(merged, "component", "left").select("rep", F.coalesce("whole", "component").alias("component")))
+    # a component is named by its least node, and a node by its least copy
+    return copies.join(named, "rep").select(F.col("id").alias(row_id), "rep", F.col("component").alias("cluster_id")), links
+
+
+def similarity_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: float = LINK) -> tuple[DataFrame, DataFrame]:
+    """The rows and links of :func:`linked_clusters`, the rows with their community too (their own rep where they have no link)."""
+    rows, links = linked_clusters(df, row_id, vec, dim, least)
+    rows = settle(rows)
+    found = communities(links).withColumnRenamed("node", "rep")
+    return rows.join(found, "rep", "left").select(row_id, "rep", F.coalesce("community", "rep").alias("community"), "cluster_id"), links
 
 
 def described_communities(rows: DataFrame, links: DataFrame, row_id: str, typical: int = 3) -> DataFrame:

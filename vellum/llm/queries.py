@@ -84,7 +84,7 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- 3: grouping records into similarity clusters
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = clusters.similarity_clusters(table(spark, d, "mapping"), "row_id", "vec", DIM)
+    rows, _ = clusters.linked_clusters(table(spark, d, "mapping"), "row_id", "vec", DIM)
     rows = settle(rows)
     big = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 10").select("cluster_id")
     return rows.join(big, "cluster_id").select("row_id", "cluster_id")
