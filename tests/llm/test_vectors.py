@@ -115,10 +115,16 @@ def test_links_that_no_neighbour_list_holds(spark, monkeypatch):
     for i, angle in enumerate((0.0, 0.5, 0.0, 0.5, 1.0, 1.5)):
         flat[i, 2 * (i > 1) : 2 * (i > 1) + 2] = np.cos(angle), np.sin(angle)
     x = np.vstack([flat, np.repeat(flat[:1], 300, axis=0), np.random.default_rng(8).normal(size=(60, DIM))])
-    rows, _ = clusters.similarity_clusters(frame(spark, x), "row_id", "vec", DIM, 0.85)
-    got = {r["row_id"]: r["cluster_id"] for r in rows.collect()}
+    rows, links = clusters.similarity_clusters(frame(spark, x), "row_id", "vec", DIM, 0.85)
+    rows = rows.collect()
+    got = {r["row_id"]: r["cluster_id"] for r in rows}
+    community = {r["row_id"]: r["community"] for r in rows}
+    assert community[1] == community[0] and len({community[i] for i in range(2, 6)}) < 4
     want = single_linkage(unit(x), 0.85)
     assert got == dict(enumerate(want)) and want[1] == 0 and want[5] == want[2]
+    u = unit(x)
+    reps = [i for i in range(len(x)) if i < 6 or i >= 306]
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(a, b) for a in reps for b in reps if a < b and u[a] @ u[b] >= 0.85}
 
 
 def test_links_between_parts_of_a_cluster(spark, monkeypatch):

@@ -315,7 +315,8 @@ def linked_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: float
     """(rows, links): rows (row_id, rep, cluster_id), links (a, b, w) between representatives of copies.
 
     A cluster is all that links of cosine >= ``least`` join, directly or through others; cluster_id is its smallest row_id.
-    The links are the neighbour graph's. Exact copies are one node of the graph and share everything. Unusable vectors (null, other length, a null, NaN or infinite element,
+    The links are the neighbour graph's and all those between rows that it leaves in different components. Exact
+    copies are one node of the graph and share everything. Unusable vectors (null, other length, a null, NaN or infinite element,
     all zero) are left out; repeated ids stand as they are; an empty table gives no rows; extra columns are pruned.
     """
     reps, copies = folded_copies(unit_vectors(df, row_id, vec, dim))
@@ -330,6 +331,7 @@ def linked_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: float
         ends = more.join(named.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(named.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
         merged = hash_to_min(ends.select("ca", "cb").distinct(), "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("whole"))
         named = settle(named.join(merged, "component", "left").select("rep", F.coalesce("whole", "component").alias("component")))
+        links = settle(links.unionByName(more))
     # a component is named by its least node, and a node by its least copy
     return copies.join(named, "rep").select(F.col("id").alias(row_id), "rep", F.col("component").alias("cluster_id")), links
 
