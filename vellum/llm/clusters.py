@@ -2,9 +2,8 @@
 
 The graph starts from exact neighbours within the shards of two differently seeded vantage-point routings, so that
 the lists cross shard borders; rounds of neighbour descent then compare the neighbours of every vector with
-each other. Communities grow by synchronous local moves of greatest modularity gain, half of the nodes in a
-turn, over two levels of the graph. Links between components which the neighbour lists may lack are searched for
-exactly before that.
+each other. Links between components which the lists may lack are then searched for exactly. Communities grow
+by local moves of greatest modularity gain until none gains, over as many levels of the graph as still merge.
 """
 
 from __future__ import annotations
@@ -29,8 +28,10 @@ SAMPLE_A_SHARD = 128
 MOST_SAMPLE = 1 << 16
 ROUNDS = 2
 LINK = 0.8
-LEVELS = 2
 MOVES = 4
+MOST_TURNS = 1000  # turns never reach this; it ends in an error
+GAIN = 1e-9  # of a node's degree: gains below it are rounding
+LOCAL_LINKS = 1 << 18  # a component of more links is settled by turns of all tasks
 BALLS, ROWS_A_TASK = 4096, 16384  # components and rows that meet in one task of the search for missing links
 MEET_ROWS = 2048  # rows of either side that are compared in one task, all of whose pairs may be links
 HALF_ERROR = 0.004  # float16 cosines are off by far less; links this near the threshold are measured again
@@ -168,39 +169,119 @@ def links_above(edges: DataFrame, reps: DataFrame, dim: int, least: float = LINK
     return settle(pairs.where(F.col("w") >= least + HALF_ERROR).unionByName(exact))
 
 
-def communities(links: DataFrame, levels: int = LEVELS, moves: int = MOVES) -> DataFrame:
-    """(node, community) of every node of ``links`` (a, b, w): local moves that raise modularity most."""
+def _settled_communities(a: np.ndarray, b: np.ndarray, w: np.ndarray, m2: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, communities) of one component: one node moves at a time, until none gains and no community merges."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    place, p, q = np.arange(len(names)), ends[: len(a)], ends[len(a) :]
+    while True:
+        n = int(place.max()) + 1
+        near: list[list] = [[] for _ in range(n)]
+        degree = [0.0] * n
+        for u, v, x in zip(p.tolist(), q.tolist(), w.tolist(), strict=True):
+            degree[u] += x
+            degree[v] += x
+            if u != v:
+                near[u].append((v, x))
+                near[v].append((u, x))
+        c, total, moved = list(range(n)), degree.copy(), True
+        while moved:
+            moved = False
+            for u in range(n):
+                held: dict[int, float] = {}
+                for v, x in near[u]:
+                    held[c[v]] = held.get(c[v], 0.0) + x
+                here, d = c[u], degree[u]
+                total[here] -= d
+                best, most = here, held.get(here, 0.0) - d * total[here] / m2 + GAIN * d
+                for other, k in held.items():
+                    gain = k - d * total[other] / m2
+                    if other != here and gain > most:
+                        best, most = other, gain
+                total[best] += d
+                moved |= best != here
+                c[u] = best
+        kept, c = np.unique(c, return_inverse=True)
+        place = c[place]
+        if len(kept) == n:
+            break
+        p, q = np.minimum(c[p], c[q]), np.maximum(c[p], c[q])
+        pairs, at = np.unique(p * len(kept) + q, return_inverse=True)
+        p, q, w = pairs // len(kept), pairs % len(kept), np.bincount(at, w)
+    least = np.full(int(place.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, place, names)
+    return names, least[place]
+
+
+def communities(links: DataFrame, moves: int = MOVES) -> DataFrame:
+    """(node, community) of every node of ``links`` (a, b, w): local moves that raise modularity, until none does.
+
+    A community has the name of its least node. Components (which no community crosses) of up to LOCAL_LINKS links
+    are settled in one task each; larger ones by turns over all their nodes.
+    """
+    m2 = links.agg(F.sum(2 * F.col("w"))).first()[0]
+    if not m2:
+        return links.select(F.col("a").alias("node"), F.col("a").alias("community")).limit(0)
+    parts = hash_to_min(links, "a", "b").withColumnRenamed("node", "a")
+    held = settle(links.join(parts, "a"))
+    sizes = held.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    large = settle(sizes.where(F.col("n") > LOCAL_LINKS).select("component"))
+
+    def settled(t: pa.Table) -> pa.Table:
+        nodes, found = _settled_communities(t["a"].to_numpy(), t["b"].to_numpy(), t["w"].to_numpy(), m2)
+        return pa.table([pa.array(nodes), pa.array(found)], names=["node", "community"])
+
+    found = held.join(large, "component", "left_anti").groupBy("component").applyInArrow(settled, "node long, community long")
+    if large.limit(1).count():
+        found = found.unionByName(_communities_by_turns(held.join(large, "component", "left_semi").select("a", "b", "w"), m2, moves))
+    return settle(found)
+
+
+def _communities_by_turns(links: DataFrame, m2: float, moves: int) -> DataFrame:
+    """The communities by turns in which many nodes move.
+
+    In the first ``moves`` turns of a level half of the nodes that gain move, drawn anew; moves that meet in a community may
+    spoil each other's gain. Thereafter a move is made only if it gains more than all others that touch one of its two
+    communities, so that modularity rises in every turn and the turns end when no node gains.
+    """
     graph, placed = links, None
-    for level in range(levels):
+    while True:
         both = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(graph.where("a <> b").select(F.col("b").alias("u"), F.col("a").alias("v"), "w"))
         # a loop stands for the links inside a node of a higher level, both their ends
         adjacent = settle(both)
         degree = adjacent.groupBy("u").agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("d"))
         state = settle(degree.select("u", F.col("u").alias("c"), "d"))
-        m2 = state.agg(F.sum("d")).first()[0]
-        if not m2:
-            break
-        for turn in range(moves):
+        for turn in range(MOST_TURNS):
             totals = state.groupBy("c").agg(F.sum("d").alias("t"))
             own = state.join(totals, "c").select("u", F.col("c").alias("c0"), "d", F.col("t").alias("t0"))
             near = adjacent.where("u <> v").join(state.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("k"))
             rated = near.join(totals, "c").join(own, "u")
             gain = F.col("k") - F.col("d") * (F.col("t") - F.when(F.col("c") == F.col("c0"), F.col("d")).otherwise(F.lit(0.0))) / F.lit(m2)
             best = rated.select("u", F.struct(gain.alias("g"), (-F.col("c")).alias("n")).alias("o"), (F.col("c") == F.col("c0")).alias("here"), gain.alias("g")).groupBy("u").agg(F.max("o").alias("o"), F.max(F.when(F.col("here"), F.col("g"))).alias("stay"))
-            alone = -F.col("d") * (F.col("t0") - F.col("d")) / F.lit(m2)
-            goes = (F.pmod(F.xxhash64(F.lit(level), F.lit(turn), "u"), F.lit(2)) == 0) & (F.col("o.g") > F.coalesce("stay", alone) + 1e-12)
-            nxt = settle(own.join(best, "u", "left").select("u", F.when(F.coalesce(goes, F.lit(False)), -F.col("o.n")).otherwise(F.col("c0")).alias("c"), "d"))
+            more = F.col("o.g") - F.coalesce("stay", -F.col("d") * (F.col("t0") - F.col("d")) / F.lit(m2))
+            wished = settle(own.join(best, "u", "left").select("u", "d", "c0", F.when(more > GAIN * F.col("d"), -F.col("o.n")).alias("c1"), more.alias("more")))
+            gaining = wished.where("c1 is not null and c1 <> c0")
+            if not gaining.limit(1).count():
+                break
+            if turn < moves:
+                going = gaining.where(F.pmod(F.xxhash64(F.lit(turn), "u"), F.lit(2)) == 0).select("u", "c1")
+            else:
+                ends = gaining.select("u", "c1", F.struct("more", "u").alias("rank"), F.explode(F.array("c0", "c1")).alias("c"))
+                first = ends.groupBy("c").agg(F.max("rank").alias("rank")).select("c", F.col("rank.u").alias("u"))
+                going = ends.select("u", "c", "c1").join(first, ["c", "u"]).groupBy("u", "c1").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("u", "c1")
+            nxt = settle(wished.select("u", "d", "c0").join(going, "u", "left").select("u", F.coalesce("c1", "c0").alias("c"), "d"))
             discard(state)
+            discard(wished)
             state = nxt
-        step = state.select("u", "c")
-        placed = step.select(F.col("u").alias("node"), F.col("c").alias("community")) if placed is None else placed.join(step, F.col("community") == F.col("u")).select("node", F.col("c").alias("community"))
-        placed = settle(placed)
-        if level + 1 < levels:
-            ends = graph.join(step.select(F.col("u").alias("a"), F.col("c").alias("ca")), "a").join(step.select(F.col("u").alias("b"), F.col("c").alias("cb")), "b")
-            graph = settle(ends.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
-    if placed is None:
-        return links.select(F.col("a").alias("node"), F.col("a").alias("community")).limit(0)
-    return placed
+        else:
+            raise RuntimeError("communities did not settle")
+        # the least node names a community
+        step = state.join(state.groupBy("c").agg(F.min("u").alias("name")), "c").select("u", F.col("name").alias("c"))
+        step = settle(step)
+        placed = settle(step.select(F.col("u").alias("node"), F.col("c").alias("community")) if placed is None else placed.join(step, F.col("community") == F.col("u")).select("node", F.col("c").alias("community")))
+        if not step.where("u <> c").limit(1).count():
+            return placed
+        joined = graph.join(step.select(F.col("u").alias("a"), F.col("c").alias("ca")), "a").join(step.select(F.col("u").alias("b"), F.col("c").alias("cb")), "b")
+        graph = settle(joined.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
 
 
 def bridges(placed: DataFrame, reps: DataFrame, dim: int, least: float = LINK) -> DataFrame | None:
