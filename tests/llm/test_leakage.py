@@ -81,3 +81,25 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert {k for k, r in run(spark, docs, items).items() if r["is_leak"]} == want
     monkeypatch.setattr(leakage, "BLOCK_WORDS", 150)
     assert {k for k, r in run(spark, docs, items).items() if r["is_leak"]} == want
+
+
+def test_every_edited_copy_is_found(spark):
+    """All pairs of half a full match by the plain recurrence: dense edits, short passages, passages that share their words."""
+    rnd = random.Random(4)
+    few = [f"v{i}" for i in range(60)]
+    items = [[rnd.choice(few) for _ in range(rnd.choice([1, 2, 3, 5, 9, 20, 30]))] for _ in range(40)]
+    items += [items[5] + [f"t{i}" for i in range(4)], [f"q{i}" for i in range(9)]]
+    docs = [["x"] * 5 + [f"q{i}" if i != 4 else "other" for i in range(9)] + ["x"] * 5]
+    for _ in range(80):
+        copy = []
+        for w in items[rnd.randrange(len(items))]:
+            copy += rnd.choices([[w], ["new"], [], [w, "new"]], [6, 2, 1, 1])[0]
+        docs.append([rnd.choice([*few, "a", "b"]) for _ in range(rnd.randrange(40))] + copy + ["end"] * 5)
+    got = run(spark, [(i, " ".join(w)) for i, w in enumerate(docs)], [(i, " ".join(w)) for i, w in enumerate(items)])
+    want = {}
+    for d, text in enumerate(docs):
+        for i, item in enumerate(items):
+            best, longest = smith_waterman(item, text)
+            if best >= len(item) or longest >= min(12, len(item)):
+                want[d, i] = (best / (2 * len(item)), longest)
+    assert (0, 41) in want and {k: (r["score"], r["longest_run"]) for k, r in got.items()} == want

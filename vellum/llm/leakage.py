@@ -1,9 +1,9 @@
 """Evaluation texts leaking into training text.
 
-Both sides are compared as words of the consistent form, case folded. One pass over the corpus looks for the items'
-word n-grams and keeps, of each document with any, only the stretches of words around the hits, wide enough to
-hold a whole passage. Counted over the corpus, the rarest n-gram of each window of an item becomes a seed; stretches
-and items that share a seed are aligned word by word (Smith-Waterman), which scores edited copies too.
+Both sides are compared as words of the consistent form, case folded. One pass over the corpus finds, in each document,
+the items of which it has a whole window of words, and those of which an edited copy may score enough: an alignment
+that reaches a share of a full match has a known number of word pairs of the item with at most one error between
+them within a known length of text, so counting these pairs loses none. Those are aligned word by word (Smith-Waterman).
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.lookalikes import consistent
-from vellum.runtime import settle
 
 WINDOW = 12  # consecutive words that make a leak
-GRAM = 5
+LEAST = 0.5  # share of a full match from which an edited copy counts
+MOST_HITS = 1 << 22  # word pairs met with items that are held at once
 BLOCK_WORDS = 2_000_000  # words of items in one pass at most; more items take more passes
 WORD = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -47,43 +47,6 @@ def gram_keys(ids: np.ndarray, n: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _stretches(vocabulary: dict[str, int], keys: dict[int, np.ndarray], reach: int):
-    """(id, stretch, grams, words) of each document with an n-gram of an item."""
-
-    def run(batches):
-        number, least = vocabulary.get, min(keys)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                ids, nos, grams, texts = [], [], [], []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    words = words_of(text)
-                    known = np.fromiter((number(w, 0) for w in words), np.int64, len(words))
-                    if np.count_nonzero(known) < least:
-                        continue
-                    hits = []
-                    for n, wanted in keys.items():
-                        k = gram_keys(known, n)
-                        spot = np.flatnonzero(k)
-                        place = np.minimum(np.searchsorted(wanted, k[spot]), len(wanted) - 1)
-                        spot = spot[wanted[place] == k[spot]]
-                        hits += zip(spot.tolist(), k[spot].tolist(), strict=True)
-                    hits.sort()
-                    # hits closer than a passage share a stretch
-                    first = 0
-                    for i in range(len(hits)):
-                        if i + 1 == len(hits) or hits[i + 1][0] - hits[i][0] > reach:
-                            lo, hi = max(0, hits[first][0] - reach), hits[i][0] + reach + GRAM
-                            ids.append(doc)
-                            nos.append(first)
-                            grams.append(sorted({g for _, g in hits[first : i + 1]}))
-                            texts.append(" ".join(words[lo:hi]))
-                            first = i + 1
-                yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(nos, pa.int32()), pa.array(grams, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["id", "stretch", "grams", "words"])
-
-    return run
-
-
 def align(items: list[list[int]], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(Smith-Waterman scores of the best local alignments, lengths of the longest common runs) of pairs of word numbers.
 
@@ -109,28 +72,135 @@ def align(items: list[list[int]], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, longest
 
 
-def _aligned(items: list[list[int]], vocabulary: dict[str, int], window: int):
+def _scores(pairs: list[tuple[list[int], np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(scores against a full match, longest common runs) of pairs of item and text."""
+    score, longest = np.zeros(len(pairs)), np.zeros(len(pairs), np.int32)
+    # texts of like length together, so that one long text makes no wide matrix for all
+    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))
+    for lo in range(0, len(order), 16):
+        some = order[lo : lo + 16]
+        best, run = align([pairs[i][0] for i in some], [pairs[i][1] for i in some])
+        score[some], longest[some] = best / np.array([MATCH * len(pairs[i][0]) for i in some]), run
+    return score, longest
+
+
+class _Sought:
+    """What is looked for of a block of items (lists of word numbers): whole windows, and word pairs for edited copies."""
+
+    def __init__(self, items: list[list[int]], window: int, edited: bool):
+        self.items, self.edited = items, edited
+        self.length = np.array([len(w) for w in items])
+        runs: dict[int, list] = {}
+        pairs = []
+        for i, w in enumerate(items):
+            ids, n = np.array(w, np.int64), min(window, len(w))
+            runs.setdefault(n, []).extend((k, i) for k in set(gram_keys(ids, n).tolist()))
+            if edited and len(w) > 2:
+                pairs += [(k, i) for k in {*self._pair_keys(ids, 1).tolist(), *self._pair_keys(ids, 2).tolist()} if k]
+            elif edited:
+                # any word of one or two is half a match
+                runs.setdefault(1, []).extend((k, i) for k in set(gram_keys(ids, 1).tolist()))
+        self.runs = {n: self._index(set(r)) for n, r in runs.items()}
+        self.pairs = self._index(pairs)
+        # Of m matches and e errors, 2m - e reaching 2 * LEAST * length, at most m - LEAST * length neighbouring matches have
+        # two errors or more between them, and the text that is used has at most m + e words.
+        self.need = np.maximum(1, np.ceil(LEAST * self.length - 1 - 1e-9)).astype(np.int64)
+        self.span = np.ceil((3 - 2 * LEAST) * self.length).astype(np.int64)
+
+    @staticmethod
+    def _pair_keys(ids: np.ndarray, apart: int) -> np.ndarray:
+        """A key for each word and the one ``apart`` places on; 0 where one is unknown."""
+        if len(ids) <= apart:
+            return np.zeros(0, np.int64)
+        x, y = ids[:-apart], ids[apart:]
+        return np.where((x > 0) & (y > 0), (x << 32) | y, 0)
+
+    @staticmethod
+    def _index(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, where the items of each begin, items)."""
+        rows = np.array(sorted(found), np.int64).reshape(-1, 2)
+        keys, first = np.unique(rows[:, 0], return_index=True)
+        return keys, np.append(first, len(rows)), rows[:, 1]
+
+    @staticmethod
+    def _hits(index, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in k, items) of keys that items have."""
+        keys, first, who = index
+        if not len(keys) or not len(k):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        spot = np.flatnonzero(k)
+        place = np.minimum(np.searchsorted(keys, k[spot]), len(keys) - 1)
+        same = keys[place] == k[spot]
+        spot, place = spot[same], place[same]
+        n = first[place + 1] - first[place]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[place], n)
+        return np.repeat(spot, n), who[at]
+
+    def whole(self, ids: np.ndarray) -> set[int]:
+        """Items of which the text may have a window (or a word, of items of one or two)."""
+        return {i for n, index in self.runs.items() for i in self._hits(index, gram_keys(ids, n))[1].tolist()}
+
+    def regions(self, ids: np.ndarray):
+        """(item, from, to): the stretches of the text that hold every alignment that scores enough."""
+        step = max(1000, MOST_HITS // max(1, 2 * len(self.items)))
+        reach = int(self.span.max())
+        for base in range(0, len(ids), step):
+            # texts longer than a step overlap by what an alignment can use
+            part = ids[base : base + step + 2 * reach]
+            found = [self._hits(self.pairs, self._pair_keys(part, apart)) for apart in (1, 2)]
+            code = np.unique(np.concatenate([i * len(part) + p for p, i in found]))
+            if not len(code):
+                continue
+            item, at = code // len(part), code % len(part)
+            last = np.arange(len(code)) + self.need[item] - 1
+            inside = last < len(code)
+            ends = np.minimum(last, len(code) - 1)
+            good = np.flatnonzero(inside & (item[ends] == item) & (at[ends] - at < self.span[item]))
+            held = None
+            for g in good.tolist():
+                i, wide = int(item[g]), int(self.span[item[g]])
+                lo, hi = base + max(0, int(at[g]) - wide), base + int(at[ends[g]]) + wide + 1
+                if held and held[0] == i and lo <= held[2]:
+                    held[2] = max(held[2], hi)
+                    continue
+                if held:
+                    yield tuple(held)
+                held = [i, lo, hi]
+            if held:
+                yield tuple(held)
+            if base + len(part) >= len(ids):
+                break
+
+
+def _found(vocabulary: dict[str, int], sought: _Sought, window: int):
+    """(id, item, score, longest_run, is_leak) of the documents' leaks and edited copies."""
+
     def run(batches):
         number = vocabulary.get
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
-                which = b.column("item").to_pylist()
-                texts = [np.array([number(w, 0) for w in words.split(" ")], np.int32) for words in b.column("words").to_pylist()]
-                # texts of like length together, so that one long text makes no wide matrix for all
-                order = sorted(range(len(texts)), key=lambda i, t=texts: len(t[i]))
-                score, longest = np.zeros(len(texts)), np.zeros(len(texts), np.int32)
-                for lo in range(0, len(order), 16):
-                    some = order[lo : lo + 16]
-                    best, run_ = align([items[which[i]] for i in some], [texts[i] for i in some])
-                    score[some], longest[some] = best / np.array([MATCH * len(items[which[i]]) for i in some]), run_
-                need = np.array([min(window, len(items[i])) for i in which])
-                yield pa.record_batch([b.column("id"), b.column("item"), pa.array(score), pa.array(longest), pa.array(longest >= need)], names=["id", "item", "score", "longest_run", "is_leak"])
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                rows = []
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    words = words_of(text)
+                    ids = np.fromiter((number(w, 0) for w in words), np.int64, len(words))
+                    if not ids.any():
+                        continue
+                    sure = sought.whole(ids)
+                    if sought.edited:
+                        maybe = [r for r in sought.regions(ids) if r[0] not in sure]
+                        share, _ = _scores([(sought.items[i], ids[lo:hi]) for i, lo, hi in maybe])
+                        sure |= {r[0] for r, x in zip(maybe, share.tolist(), strict=True) if x >= LEAST}
+                    rows += [(doc, i, ids) for i in sorted(sure)]
+                score, longest = _scores([(sought.items[i], ids) for _, i, ids in rows])
+                leak = longest >= np.minimum(window, sought.length[[r[1] for r in rows]]) if rows else np.zeros(0, bool)
+                keep = np.flatnonzero(leak | (sought.edited & (score >= LEAST)))
+                yield pa.record_batch([pa.array([rows[k][0] for k in keep], b.schema.field(0).type), pa.array([rows[k][1] for k in keep], pa.int32()), pa.array(score[keep]), pa.array(longest[keep]), pa.array(leak[keep])], names=["id", "item", "score", "longest_run", "is_leak"])
 
     return run
 
 
-def _block(docs: DataFrame, kind: str, rows: list, item_kind: str, window: int) -> DataFrame | None:
+def _block(docs: DataFrame, kind: str, rows: list, item_kind: str, window: int, edited: bool) -> DataFrame | None:
     """One pass for a block of items."""
     spark = docs.sparkSession
     words = [words_of(r[1]) for r in rows]
@@ -139,39 +209,13 @@ def _block(docs: DataFrame, kind: str, rows: list, item_kind: str, window: int)
         return None
     vocabulary: dict[str, int] = {}
     items = [[vocabulary.setdefault(x, len(vocabulary) + 1) for x in w] for _, w in kept]
-    at = []  # (item, position, gram, whether a whole window starts here)
-    keys: dict[int, set[int]] = {}
-    in_items: dict[int, int] = {}
-    for i, w in enumerate(items):
-        n = min(GRAM, len(w))
-        k = gram_keys(np.array(w, np.int64), n).tolist()
-        keys.setdefault(n, set()).update(k)
-        at += [(i, p, g, p <= max(0, len(w) - window)) for p, g in enumerate(k)]
-        for g in set(k):
-            in_items[g] = in_items.get(g, 0) + 1
-    reach = max(map(len, items))
-    wanted = {n: np.array(sorted(k), np.int64) for n, k in keys.items()}
-    held = settle(docs.mapInArrow(_stretches(vocabulary, wanted, reach), f"id {kind}, stretch int, grams array<bigint>, words string"))
-
-    hits = held.select("id", "stretch", F.explode("grams").alias("gram"))
-    often = hits.groupBy("gram").agg(F.count_distinct("id", "stretch").alias("n"))
-    cols = list(zip(*at, strict=True))
-    grams = spark.createDataFrame(pa.table({"item": pa.array(cols[0], pa.int32()), "pos": pa.array(cols[1], pa.int32()), "gram": pa.array(cols[2], pa.int64()), "starts": pa.array(cols[3], pa.bool_()), "own": pa.array([in_items[g] == 1 for g in cols[2]], pa.bool_())}))
-    # Of each window that the corpus can hold, all its n-grams occurring, the rarest one: a text with the whole window has it.
-    # Edited copies break windows; they are met by the n-grams that no other item has.
-    ahead = Window.partitionBy("item").orderBy("pos").rowsBetween(0, max(0, window - GRAM))
-    seen = grams.join(often, "gram", "left").withColumn("rare", F.when(F.col("n").isNotNull(), F.struct("n", "gram")))
-    whole = seen.withColumn("all_occur", F.count("n").over(ahead) == F.count(F.lit(1)).over(ahead)).withColumn("rarest", F.min("rare").over(ahead)["gram"])
-    seeds = whole.where("starts and all_occur").select("item", F.col("rarest").alias("gram")).unionByName(whole.where("own and n is not null").select("item", "gram")).distinct()
-    pairs = hits.join(seeds, "gram").select("id", "stretch", "item").distinct()
-    texts = pairs.join(held.select("id", "stretch", "words"), ["id", "stretch"]).select("id", "item", "words")
-    scored = texts.mapInArrow(_aligned(items, vocabulary, window), f"id {kind}, item int, score double, longest_run int, is_leak boolean")
+    scored = docs.mapInArrow(_found(vocabulary, _Sought(items, window, edited), window), f"id {kind}, item int, score double, longest_run int, is_leak boolean")
     names = spark.createDataFrame(pa.table({"item": pa.array(range(len(kept)), pa.int32()), "item_key": pa.array([str(k[0]) for k in kept], pa.string())})).select("item", F.col("item_key").cast(item_kind).alias("item_key"))
     return scored.join(F.broadcast(names), "item").groupBy("id", "item_key").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"), F.max("is_leak").alias("is_leak"))
 
 
-def leaked_passages(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, window: int = WINDOW) -> DataFrame:
-    """(doc, item, score, longest_run, is_leak) of each document that shares a seed with an item's passage.
+def leaked_passages(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, window: int = WINDOW, edited: bool = True) -> DataFrame:
+    """(doc, item, score, longest_run, is_leak) of each leak and, if ``edited``, each score of LEAST or more.
 
     is_leak: the text has ``window`` consecutive words of the passage, or all of a shorter one. score is that of the best local
     alignment against a full match, in [0, 1]; edited copies score high with a short longest_run. Null and
@@ -189,7 +233,7 @@ def leaked_passages(docs: DataFrame, doc: str, text: str, items: DataFrame, item
     out = None
     for n in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n)
-        made = _block(lean, kind, [tuple(r) for r in part.distinct().orderBy("i", "p").collect()], item_kind, window)
+        made = _block(lean, kind, [tuple(r) for r in part.distinct().orderBy("i", "p").collect()], item_kind, window, edited)
         if made is not None:
             out = made if out is None else out.unionByName(made)
     if out is None:

@@ -127,17 +127,17 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- 9: evaluation texts leaking into training text
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
+def _leaks(spark: SparkSession, d: str, edited: bool) -> DataFrame:
+    return leakage.leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage", edited=edited)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).where("is_leak").select("doc_id", "item_id")
+    return _leaks(spark, d, False).where("is_leak").select("doc_id", "item_id")
 
 
 def p9_alignments(spark: SparkSession, d: str) -> DataFrame:
     """Exact and edited copies: every document and item whose best alignment reaches half of a full match."""
-    return _leaks(spark, d).where("score >= 0.5 or is_leak").select("doc_id", "item_id", F.round("score", 6).alias("score"), "longest_run", "is_leak")
+    return _leaks(spark, d, True).where("score >= 0.5 or is_leak").select("doc_id", "item_id", F.round("score", 6).alias("score"), "longest_run", "is_leak")
 
 
 # ---- 10: visually identical text with different characters
