@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.vectors import doubles, l2_normalized
+from vellum.operators.training_math import ranked_first, seeded_order
 
 
 def mean_vectors(rows: DataFrame, keys: list[str], vec: str, out: str = "vec") -> DataFrame:
@@ -42,3 +43,10 @@ def patch_rows(tokens: DataFrame, page: str, window: str, pos: str, vec: str, n_
 def taken_tokens(rows: DataFrame, tokens: str, keep: list[int]) -> DataFrame:
     """Token 0 and the patch tokens with the ids ``keep``."""
     return rows.withColumn(tokens, F.concat(F.slice(tokens, 1, 1), F.transform(F.array(*map(F.lit, keep)), lambda i: F.element_at(tokens, i + 2))))
+
+
+def projector_vectors(patches: DataFrame, page: str, window: str, vec: str, seed: int, most: int = 4) -> DataFrame:
+    """(page, vec): mean of all patch tokens of at most ``most`` windows a page, drawn in the seeded order, at unit length."""
+    windows = patches.select(page, window).distinct().withColumn("_key", F.struct(page, window))
+    drawn = ranked_first(seeded_order(windows, "_key", seed), page, [F.col("turn"), F.col(window)], most).select(page, window)
+    return mean_vectors(patches.join(drawn, [page, window]), [page], vec).select(page, l2_normalized(F.col("vec")).alias("vec"))

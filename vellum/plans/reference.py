@@ -551,10 +551,11 @@ def shuffled_epoch(s, d):
     return training_math.seeded_order(_embeddings(s, d).select("vec_id"), "vec_id", 1, 3)
 
 
-@query()
+@query(f"""WITH {_TOKENS}, a AS (SELECT page, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM tokens WHERE pos >= 1), m AS (SELECT page, i, avg(x) AS x FROM a GROUP BY 1, 2), n AS (SELECT page, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM m GROUP BY 1)
+SELECT page, list(round(x / n, 6) ORDER BY i) AS vec FROM m JOIN n USING (page) GROUP BY 1""")
 def projector_vectors(s, d):
-    few = training_math.ranked_first(training_math.seeded_order(_tokens(s, d), "vec_id", 2).where("pos >= 1"), "page", [F.col("turn"), F.col("vec_id")], 4)
-    return pooling.mean_vectors(few, ["page"], "v").select("page", V.l2_normalized(F.col("vec")).alias("vec"))
+    # No page has more than four windows here, so the SQL need not draw.
+    return pooling.projector_vectors(_tokens(s, d).where("pos >= 1"), "page", "win", "v", 2).select("page", V.rounded(F.col("vec")).alias("vec"))
 
 
 # ---- state dictionaries
