@@ -1,8 +1,9 @@
-"""Page vectors of whole windows."""
+"""Page vectors of whole windows, detections of whole bodies."""
 
 import numpy as np
 
 from vellum.operators import pooling
+from vellum.plans import reference
 
 
 def test_projector_keeps_all_tokens_of_drawn_windows(spark):
@@ -15,3 +16,15 @@ def test_projector_keeps_all_tokens_of_drawn_windows(spark):
     from itertools import combinations
 
     assert sum(np.allclose(got[2], unit(mean(2, set(c)))) for c in combinations(range(7), 4)) == 1
+
+
+def test_every_body_gives_a_row(spark, tmp_path):
+    dark = bytearray([200] * 32 * 100)
+    for y in range(80, 90):
+        dark[32 * y + 4 : 32 * y + 20] = bytes(16)
+    rows = [(1, None), (2, bytearray()), (3, bytearray(b"short")), (4, dark), (5, dark + bytearray(b"\xc8" * 5))]
+    spark.createDataFrame(rows, "doc_id long, body binary").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["detections"] for r in reference.detector_udf_contract(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and got[1] == got[2] == []
+    for doc in (4, 5):
+        assert [(z["x0"], z["y0"], z["x1"], z["y1"]) for z in got[doc]] == [(4, 80, 20, 90)]

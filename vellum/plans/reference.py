@@ -702,6 +702,8 @@ def _bytes_of(batches):
 
 @query()
 def detector_udf_contract(s, d):
-    # the first bytes of a body stand for a page of 32 x 32 pixels
-    pages = table(s, d, "documents").where("length(body) >= 1024").select("doc_id", F.lit(32).alias("width"), F.lit(32).alias("height"), F.col("body").substr(1, 1024).alias("gray"))
+    # a body stands for a page of 32 pixels a line, the rest of its last line blank (white); without a body there is no page
+    size = F.coalesce(F.length("body"), F.lit(0))
+    height = F.ceil(size / 32).cast("int")
+    pages = table(s, d, "documents").select("doc_id", F.lit(32).alias("width"), height.alias("height"), F.rpad(F.col("body").cast("binary"), height * 32, F.lit(b"\xff")).alias("gray"))
     return plugins.detected(pages, plugins.detector("heuristic"), ["doc_id"])

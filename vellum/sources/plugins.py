@@ -73,7 +73,7 @@ def detector(name: str) -> Detector:
 
 
 def detected(pixels: DataFrame, chosen: Detector, keys: list[str]) -> DataFrame:
-    """pixels (keys, width, height, gray BINARY, a byte a pixel): (keys, detections)."""
+    """pixels (keys, width, height, gray BINARY, a byte a pixel): (keys, detections); a null or empty page has none."""
     kinds = ", ".join(f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,6 +82,9 @@ def detected(pixels: DataFrame, chosen: Detector, keys: list[str]) -> DataFrame:
         for b in batches:
             made = []
             for w, h, data in zip(b.column("width").to_pylist(), b.column("height").to_pylist(), b.column("gray").to_pylist(), strict=True):
+                if not data:
+                    made.append([])
+                    continue
                 page = np.frombuffer(data, np.uint8).reshape(h, w).astype(np.float64)
                 made.append([dict(zip(names, d, strict=True)) for d in chosen(page)])
             yield pa.record_batch([*[b.column(k) for k in keys], pa.array(made, kind)], names=[*keys, "detections"])
