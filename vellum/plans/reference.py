@@ -17,6 +17,7 @@ from vellum.plans.problems import MODELS, trim
 from vellum.runtime import settle
 from vellum.sources import folders, matrices, plugins
 
+# In SQL "round(...) + 0" makes a negative zero plain, which Spark's rounding never gives.
 TIE = 1e-9  # moves means of short decimals off the boundary of rounding, on both sides alike
 _QUERIES: dict = {}
 _SQL: dict = {}
@@ -263,13 +264,13 @@ _POOL = f"""{_TOKENS}, {_LONG}, w AS (SELECT page, win, i, avg(x) AS x FROM long
 n AS (SELECT page, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)"""
 
 
-@query(f"WITH {_POOL} SELECT page, list(round(x / greatest(n, 1e-12), 6) ORDER BY i) AS vec, max(n_windows) AS n_windows FROM m JOIN n USING (page) GROUP BY 1")
+@query(f"WITH {_POOL} SELECT page, list(round(x / greatest(n, 1e-12), 6) + 0 ORDER BY i) AS vec, max(n_windows) AS n_windows FROM m JOIN n USING (page) GROUP BY 1")
 def pool_mean(s, d):
     return pooling.pooled_mean(_tokens(s, d), "page", "win", "pos", "v", 1).withColumn("vec", V.rounded(F.col("vec")))
 
 
 @query(f"""WITH {_TOKENS}, {_LONG}, m AS (SELECT page, pos * 64 + i AS i, avg(x) AS x, count(*) AS n_windows FROM long WHERE pos < 2 GROUP BY 1, 2), n AS (SELECT page, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)
-SELECT page, list(round(x / greatest(n, 1e-12), 6) ORDER BY i) AS vec, max(n_windows) AS n_windows FROM m JOIN n USING (page) GROUP BY 1""")
+SELECT page, list(round(x / greatest(n, 1e-12), 6) + 0 ORDER BY i) AS vec, max(n_windows) AS n_windows FROM m JOIN n USING (page) GROUP BY 1""")
 def pool_cls(s, d):
     return pooling.pooled_class(_tokens(s, d), "page", "win", "pos", "v", 2).withColumn("vec", V.rounded(F.col("vec")))
 
@@ -294,7 +295,7 @@ def _book(s, d):
     return settle(codebook.label_codebook(_embeddings(s, d), "label", "embedding"))
 
 
-@query(f"WITH {_BOOK} SELECT cluster_id, list_transform(center, lambda x: round(x, 6)) AS center FROM book")
+@query(f"WITH {_BOOK} SELECT cluster_id, list_transform(center, lambda x: round(x, 6) + 0) AS center FROM book")
 def codebook_table(s, d):
     return _book(s, d).select("cluster_id", V.rounded(F.col("center")).alias("center"))
 
@@ -305,7 +306,7 @@ def nearest_center(s, d):
 
 
 _RES = f"""{_NEAR}, res AS (SELECT page, cluster_id, i, sum(x - c) AS s FROM (SELECT page, cluster_id, unnest(v) AS x, unnest(center) AS c, generate_subscripts(v, 1) AS i FROM near) GROUP BY 1, 2, 3)"""
-_VLAD = "SELECT page, list(round({0} / greatest(sqrt(t), 1e-12), 5) ORDER BY cluster_id, i) AS vec FROM (SELECT *, sum({0} * {0}) OVER (PARTITION BY page) AS t FROM {1}) GROUP BY page"
+_VLAD = "SELECT page, list(round({0} / greatest(sqrt(t), 1e-12), 5) + 0 ORDER BY cluster_id, i) AS vec FROM (SELECT *, sum({0} * {0}) OVER (PARTITION BY page) AS t FROM {1}) GROUP BY page"
 _FULL = "all_ AS (SELECT page, b.cluster_id, i, coalesce(s, 0) AS s FROM (SELECT DISTINCT page FROM res) CROSS JOIN (SELECT DISTINCT cluster_id FROM book) b CROSS JOIN (SELECT unnest(range(1, 65)) AS i) LEFT JOIN res USING (page, cluster_id, i))"
 
 
@@ -519,7 +520,7 @@ def view_pairs(s, d):
 
 
 @query("""WITH t AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings)
-SELECT vec_id, round(n, 6) AS norm, list_transform(v, lambda x: round(x * least(1, 0.5::DOUBLE / (n + 1e-6::DOUBLE)), 6)) AS clipped FROM t""")
+SELECT vec_id, round(n, 6) AS norm, list_transform(v, lambda x: round(x * least(1, 0.5::DOUBLE / (n + 1e-6::DOUBLE)), 6) + 0) AS clipped FROM t""")
 def grad_clip(s, d):
     n, v = training_math.clipped("embedding", 0.5)
     return _embeddings(s, d).select("vec_id", F.round(n, 6).alias("norm"), V.rounded(v).alias("clipped"))
@@ -552,7 +553,7 @@ def shuffled_epoch(s, d):
 
 
 @query(f"""WITH {_TOKENS}, a AS (SELECT page, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM tokens WHERE pos >= 1), m AS (SELECT page, i, avg(x) AS x FROM a GROUP BY 1, 2), n AS (SELECT page, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM m GROUP BY 1)
-SELECT page, list(round(x / n, 6) ORDER BY i) AS vec FROM m JOIN n USING (page) GROUP BY 1""")
+SELECT page, list(round(x / n, 6) + 0 ORDER BY i) AS vec FROM m JOIN n USING (page) GROUP BY 1""")
 def projector_vectors(s, d):
     # No page has more than four windows here, so the SQL need not draw.
     return pooling.projector_vectors(_tokens(s, d).where("pos >= 1"), "page", "win", "v", 2).select("page", V.rounded(F.col("vec")).alias("vec"))
