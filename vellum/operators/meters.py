@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.skew import balanced_positions, running_sums
+
 TRAILING = 20
 
 
 def trailing_meter(series: DataFrame, name: str, step: str, value: str, width: int = TRAILING) -> DataFrame:
-    """Lower median, mean, greatest and last of the last ``width`` values of each series, with the running mean of all."""
-    frame = Window.partitionBy(name).orderBy(step).rowsBetween(1 - width, 0)
-    so_far = Window.partitionBy(name).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    """Lower median, mean, greatest and last of the last ``width`` values of each series, with the running mean of all.
+
+    A series may hold any share of the rows: it is cut into range partitions, each of which gets the width - 1 rows before it.
+    """
+    rows = running_sums(series.select(name, step, value), name, [step], value, "_sum", "_at", width - 1)
+    frame = Window.partitionBy(name, "_part").orderBy("_at").rowsBetween(1 - width, 0)
     held = F.array_sort(F.collect_list(value).over(frame))
     median = F.element_at(held, F.floor((F.size(held) + 1) / 2).cast("int"))
-    return series.select(name, step, median.alias("median"), F.avg(value).over(frame).alias("avg"), F.max(value).over(frame).alias("max"), F.last(value).over(frame).alias("value"), F.avg(value).over(so_far).alias("global_avg"))
+    met = rows.select(name, step, median.alias("median"), F.avg(value).over(frame).alias("avg"), F.max(value).over(frame).alias("max"), F.col(value).alias("value"), (F.col("_sum") / F.col("_at")).alias("global_avg"), "_lent")
+    return met.where("not _lent").drop("_lent")
 
 
 def weighted_meter(series: DataFrame, name: str, value: str, weight: str) -> DataFrame:
@@ -27,10 +33,9 @@ def at_cadence(series: DataFrame, step: str, every: int) -> DataFrame:
 
 
 def full_batches(rows: DataFrame, name: str, order: str, batch: int) -> DataFrame:
-    """Rows of each name numbered from 1 by ``order``, without the rest that fills no batch."""
-    w = Window.partitionBy(name).orderBy(order)
-    numbered = rows.withColumns({"at": F.row_number().over(w), "n": F.count(F.lit(1)).over(Window.partitionBy(name))})
-    return numbered.where(F.col("at") <= batch * F.floor(F.col("n") / batch)).drop("n")
+    """Rows of each name numbered from 1 by ``order``, without the rest that fills no batch; names of any size are counted in pieces."""
+    numbered = balanced_positions(rows, name, [order], None, "at", "_n").withColumn("at", F.col("at") + 1)
+    return numbered.where(F.col("at") <= batch * F.floor(F.col("_n") / batch)).drop("_n")
 
 
 def diverged(value: Column) -> Column:
@@ -45,15 +50,19 @@ def resume_point(step: Column, steps_per_epoch: int) -> tuple[Column, Column]:
 
 def time_left(series: DataFrame, name: str, step: str, seconds: str, total: Column) -> DataFrame:
     """Running mean of the step time times the steps left."""
-    so_far = Window.partitionBy(name).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    done = F.row_number().over(Window.partitionBy(name).orderBy(step))
-    return series.withColumn("eta", F.avg(seconds).over(so_far) * (total - done))
+    rows = running_sums(series, name, [step], seconds, "_sum", "_at")
+    return rows.withColumn("eta", F.col("_sum") / F.col("_at") * (total - F.col("_at"))).drop("_sum", "_at", "_part")
 
 
 def run_lengths(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """(key, run, value, n, ends): runs of equal consecutive values and the running count at their end."""
-    w = Window.partitionBy(key).orderBy(order)
-    new = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    numbered = rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy(key, "run", value).agg(F.count(F.lit(1)).alias("n"))
-    return runs.withColumn("ends", F.sum("n").over(Window.partitionBy(key).orderBy("run").rowsBetween(Window.unboundedPreceding, 0)))
+    """(key, run, value, n, ends): runs of equal consecutive values and the running count at their end.
+
+    A key may hold any share of the rows: the row before a piece is lent to it, and runs are counted by a balanced prefix sum.
+    """
+    lean = running_sums(rows.select(key, order, value).withColumn("_one", F.lit(0)), key, [order], "_one", "_sum", "_at", 1)
+    w = Window.partitionBy(key, "_part").orderBy("_at")
+    before = F.lag(F.struct(value)).over(w)
+    new = F.when(before.isNull() | ~F.col(value).eqNullSafe(before[value]), 1).otherwise(0)
+    flagged = lean.withColumn("_new", new).where("not _lent").select(key, "_at", value, "_new")
+    numbered = balanced_positions(flagged, key, ["_at"], "_new", "_run", None)
+    return numbered.groupBy(key, (F.col("_run") + F.col("_new")).alias("run"), value).agg(F.count(F.lit(1)).alias("n"), F.max("_at").alias("ends"))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.runtime import fan_out, private
@@ -121,25 +121,110 @@ def balanced_key_results(df: DataFrame, key: str, order: str, tie: str, tag: str
     )
 
 
-def balanced_positions(df: DataFrame, key: str, order: list[str], size: str | None, position: str = "position", total: str = "total") -> DataFrame:
-    """``df`` with the running sum of ``size`` (1 if None) before each row of its key, and the key's total.
+def _numbered(key: str, size: str):
+    """Rows sorted by key: the sum of ``size`` before each row within its key and partition, and the partition's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        last, carry = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, sizes = b.column(key), b.column(size).to_numpy(zero_copy_only=False)
+            n = b.num_rows
+            new = np.ones(n, bool)
+            if n > 1:
+                a, c = k.slice(1), k.slice(0, n - 1)
+                same = pc.or_(pc.fill_null(pc.equal(a, c), False), pc.and_(a.is_null(), c.is_null()))
+                new[1:] = ~same.to_numpy(zero_copy_only=False)
+            goes_on = last is not None and last[0] == k[0].as_py()
+            before = np.cumsum(sizes) - sizes
+            first = np.flatnonzero(new)
+            inner = before - np.repeat(before[first], np.diff(np.append(first, n)))
+            if goes_on:
+                inner[: first[1] if len(first) > 1 else n] += carry
+            last, carry = (k[n - 1].as_py(),), inner[-1] + sizes[-1]
+            yield pa.record_batch([*b.columns, pa.array(inner), pa.array(np.full(n, part, np.int32))], names=[*b.schema.names, "_inner", "_part"])
+
+    return run
+
+
+def ordered_pieces(df: DataFrame, key: str, order: list[str], size: Column | None = None, inner: str = "_inner", part: str = "_part") -> DataFrame:
+    """``df``, settled in range partitions of (key, order), with the partition ``part`` and, in ``inner``, the sum of ``size``
+    (1 if None) before each row among the rows of its key in its partition.
+
+    One range shuffle sorts the rows; the numbers come from a pass over each sorted partition. A heavy key is cut into
+    as many partitions as it needs. Null sizes count 0; null keys form one key.
+    """
+    from vellum.runtime import settle
+
+    (sz,) = private(df, "_size")
+    c = lambda x: F.col(f"`{x}`")
+    amount = F.lit(1).cast("long") if size is None else size
+    by = [c(key), *map(c, order)]
+    ranged = df.withColumn(sz, amount).repartitionByRange(fan_out(df.sparkSession), *by).sortWithinPartitions(*by)
+    kind = ranged.schema[sz].dataType.simpleString()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema)
+    return settle(ranged.mapInArrow(_numbered(key, sz), f"{schema}, _inner {kind}, _part int").withColumnsRenamed({"_inner": inner, "_part": part, sz: f"{inner}size"}))
 
-    The prefix sum of a hot key is spread over partitions: rows are ranged on (key, order), numbered inside
-    their piece, and shifted by the sum of the key's earlier pieces, of which there is at most one a partition.
-    ``order`` must be unique within a key for a defined result. Null sizes count 0; null keys form one key.
+
+def before_pieces(pieces: DataFrame, key: str, inner: str = "_inner", part: str = "_part", shift: str = "_shift") -> DataFrame:
+    """(key, part, shift): what a key's earlier partitions add up to, for keys in more than one partition only.
+
+    Such keys are the last of one partition and the first of the next, so there are fewer than two rows a partition.
     """
     from pyspark.sql import Window
 
-    from vellum.runtime import settle
+    sums = pieces.groupBy(F.col(f"`{key}`").alias("pk"), F.col(part).alias("pp")).agg(F.max(F.col(inner) + F.col(f"{inner}size")).alias("ps"))
+    crossing = sums.withColumn("cuts", F.count(F.lit(1)).over(Window.partitionBy("pk"))).where("cuts > 1")
+    return crossing.select("pk", "pp", (F.sum("ps").over(Window.partitionBy("pk").orderBy("pp")) - F.col("ps")).alias(shift))
+
+
+def balanced_positions(df: DataFrame, key: str, order: list[str], size: str | None, position: str = "position", total: str | None = "total") -> DataFrame:
+    """``df`` with the running sum of ``size`` (1 if None) before each row of its key, and the key's total unless that name is None.
+
+    The prefix sum of a hot key is spread over partitions: rows are ranged on (key, order) and numbered in their
+    partition; the rows of a key that crosses partitions are shifted by the sum of its earlier ones, which comes
+    from a broadcast of fewer than two rows a partition. ``order`` must be unique within a key for a defined
+    result. Sizes are whole numbers of 0 or more; null sizes count 0; null keys form one key.
+    """
+    c = lambda x: F.col(f"`{x}`")
+    inner, part, shift = private(df, "_inner", "_part", "_shift")
+    amount = None if size is None else F.coalesce(c(size).cast("long"), F.lit(0).cast("long"))
+    pieces = ordered_pieces(df, key, order, amount, inner, part)
+    early = before_pieces(pieces, key, inner, part, shift)
+    placed = pieces.join(F.broadcast(early), (F.col(part) == F.col("pp")) & c(key).eqNullSafe(F.col("pk")), "left")
+    out = placed.select(*[c(x) for x in df.columns], (F.col(inner) + F.coalesce(shift, F.lit(0).cast("long"))).alias(position))
+    if total is None:
+        return out
+    whole = pieces.groupBy(c(key).alias("pk")).agg(F.sum(f"{inner}size").alias(total))
+    return out.join(whole, c(key).eqNullSafe(F.col("pk"))).drop("pk")
+
+
+def running_sums(df: DataFrame, key: str, order: list[str], value: str, total: str = "running", count: str = "at", halo: int = 0, halo_flag: str = "_lent") -> DataFrame:
+    """``df`` with the running sum of ``value`` to each row of its key, itself included, and its number from 1; see :func:`balanced_positions`.
+
+    Also _part, the range partition. With ``halo`` the last ``halo`` rows of a key before a partition are lent to it,
+    flagged by ``halo_flag`` (a boolean, false for the rows themselves), so that frames of ``halo`` rows before
+    a row can be taken within (key, _part). Null values count 0.
+    """
+    from pyspark.sql import Window
 
-    part, inner, shift, sz = private(df, "_part", "_inner", "_shift", "_size")
     c = lambda x: F.col(f"`{x}`")
-    amount = F.lit(1).cast("long") if size is None else F.coalesce(c(size).cast("long"), F.lit(0).cast("long"))
-    ranged = settle(df.withColumn(sz, amount).repartitionByRange(fan_out(df.sparkSession), c(key), *map(c, order)).withColumn(part, F.spark_partition_id()))
-    pieces = ranged.groupBy(c(key).alias("pk"), c(part).alias("pp")).agg(F.sum(sz).alias("ps"))
-    by = Window.partitionBy("pk").orderBy("pp")
-    offsets = pieces.select("pk", "pp", (F.sum("ps").over(by) - F.col("ps")).alias(shift), F.sum("ps").over(Window.partitionBy("pk")).alias(total))
-    local = Window.partitionBy(c(part), c(key)).orderBy(*map(c, order)).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = ranged.withColumn(inner, F.sum(sz).over(local) - c(sz))
-    joined = numbered.join(offsets, (c(part) == F.col("pp")) & c(key).eqNullSafe(F.col("pk")))
-    return joined.select(*[c(x) for x in df.columns], (c(inner) + c(shift)).alias(position), c(total))
+    numbers = ordered_pieces(df.withColumn("_v", F.coalesce(c(value).cast("double"), F.lit(0.0))), key, order)
+    local = numbers.withColumn("_local", F.sum("_v").over(Window.partitionBy("_part", c(key)).orderBy("_inner").rowsBetween(Window.unboundedPreceding, 0)))
+    sums = numbers.groupBy(c(key).alias("pk"), F.col("_part").alias("pp")).agg(F.sum("_v").alias("s"), F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("pk").orderBy("pp").rowsBetween(Window.unboundedPreceding, -1)
+    # only keys that cross partitions, fewer than two rows a partition
+    early = sums.withColumn("cuts", F.count(F.lit(1)).over(Window.partitionBy("pk"))).where("cuts > 1")
+    early = early.select("pk", "pp", F.coalesce(F.sum("s").over(by), F.lit(0.0)).alias("s0"), F.coalesce(F.sum("n").over(by), F.lit(0)).alias("n0"), F.lag("pp").over(Window.partitionBy("pk").orderBy("pp")).alias("before"), "n")
+    whole = local.join(F.broadcast(early.select("pk", "pp", "s0", "n0")), (F.col("_part") == F.col("pp")) & c(key).eqNullSafe(F.col("pk")), "left")
+    own = whole.select(*map(c, df.columns), (F.col("_local") + F.coalesce("s0", F.lit(0.0))).alias(total), (F.col("_inner") + 1 + F.coalesce("n0", F.lit(0))).alias(count), "_part", F.lit(False).alias(halo_flag))
+    if not halo:
+        return own.drop(halo_flag)
+    # a row is lent to every later partition of its key that starts fewer than ``halo`` rows behind it
+    reach = early.where("n0 > 0").select(F.col("pk").alias("k2"), F.col("pp").alias("to"), "n0")
+    tails = own.join(F.broadcast(reach), c(key).eqNullSafe(F.col("k2")) & (F.col(count) <= F.col("n0")) & (F.col(count) > F.col("n0") - halo))
+    return own.unionByName(tails.select(*map(c, df.columns), total, count, F.col("to").alias("_part"), F.lit(True).alias(halo_flag)))

@@ -34,10 +34,15 @@ def masking_ratio(epoch: Column, start: int, ratio: float) -> Column:
 
 
 def exponential_average(series: DataFrame, name: str, step: str, value: str, momentum: float) -> DataFrame:
-    """(name, n, value): the fold c <- m * c + (1 - m) * x over the steps in order, from 0."""
-    held = series.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).cast("double").alias("v")))).alias("a"))
-    fold = F.aggregate("a", F.lit(0.0), lambda c, x: momentum * c + (1 - momentum) * x["v"])
-    return held.select(name, F.size("a").alias("n"), fold.alias("value"))
+    """(name, n, value): the fold c <- m * c + (1 - m) * x over the steps in order, from 0.
+
+    It is the sum of (1 - m) * m ** (rows after x) * x, so a long series is added up in pieces once its rows are numbered.
+    """
+    from vellum.operators.skew import balanced_positions
+
+    placed = balanced_positions(series.select(name, step, value), name, [step], None, "_at", "_n")
+    weight = (1 - momentum) * F.pow(F.lit(float(momentum)), F.col("_n") - 1 - F.col("_at"))
+    return placed.groupBy(name).agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum(weight * F.col(value).cast("double")).alias("value"))
 
 
 def blended_parameters(teacher: DataFrame, student: DataFrame, key: str, value: str, momentum: float) -> DataFrame:
