@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -10,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.vectors import doubles, l2_normalized
+from vellum.runtime import settle
 
-MOST_WIDTH = 4096  # the covariance of wider vectors is too large for the driver
+MOST_WIDTH = 4096  # side of the greatest matrix that the driver decomposes: a covariance, or of wider vectors the products of their rows
+BLOCK_COLUMNS = 512
 
 
 def _moments(rows: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
@@ -26,7 +30,7 @@ def _moments(rows: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
     def scatter(batches):
         total = np.zeros((width, width))
         for b in batches:
-            x = np.array(b.column(0).to_pylist(), np.float64).reshape(-1, width) - mean
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) - mean
             total += x.T @ x
         yield pa.record_batch([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["g"])
 
@@ -37,11 +41,40 @@ def _moments(rows: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def _projected(rows: DataFrame, vec: str, mean: np.ndarray, axes: np.ndarray, out: str) -> DataFrame:
-    """vec centred and multiplied with the columns of ``axes``, within the JVM."""
-    centred = F.zip_with(doubles(vec), F.lit(mean.tolist()), lambda a, b: a - b)
-    columns = F.array(*[F.array(*[F.lit(float(x)) for x in a]) for a in axes.T])
-    dots = F.transform(columns, lambda a: F.aggregate(F.zip_with(F.col("_c"), a, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
-    return rows.withColumn("_c", centred).withColumn(out, dots).drop("_c")
+    """vec centred and multiplied with the columns of ``axes``: one matrix product a batch, the axes broadcast once."""
+    shared = rows.sparkSession.sparkContext.broadcast((mean, axes))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, a = shared.value
+        for b in batches:
+            at = b.schema.names.index("_c")
+            x = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(m)) - m
+            y = x @ a
+            ends = pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1])
+            kept = [i for i in range(b.num_columns) if i != at]
+            yield pa.record_batch([*[b.column(i) for i in kept], pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], names=[*[b.schema.names[i] for i in kept], out])
+
+    return rows.withColumn("_c", doubles(vec)).mapInArrow(run, f"{schema}, `{out}` array<double>")
+
+
+def _row_products(known: DataFrame, vec: str, width: int) -> tuple[np.ndarray, list, DataFrame]:
+    """(centred rows times themselves, their numbers, the numbered rows): for few wide rows, added up over blocks of columns."""
+    from vellum.operators.skew import balanced_positions
+
+    numbered = settle(balanced_positions(known.withColumns({"_one": F.lit(0), "_h": F.xxhash64(vec)}), "_one", ["_h"], None, "_row", None).drop("_one", "_h"))
+    n = numbered.count()
+    blocks = -(-width // BLOCK_COLUMNS)
+    cut = numbered.select("_row", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), doubles(vec).alias("v")).select("_row", "block", F.slice("v", F.col("block") * BLOCK_COLUMNS + 1, BLOCK_COLUMNS).alias("v"))
+
+    def product(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_row")
+        x = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        x = x - x.mean(0)
+        return pa.table({"g": pa.array([(x @ x.T).ravel().tolist()], pa.list_(pa.float64()))})
+
+    g = cut.groupBy("block").applyInArrow(product, "g array<double>").agg(Summarizer.sum(array_to_vector("g")).alias("g"))
+    return np.array(g.select(vector_to_array("g")).first()[0]).reshape(n, n), list(range(n)), numbered
 
 
 def pca_scores(rows: DataFrame, vec: str, k: int, out: str = "scores") -> DataFrame:
@@ -54,8 +87,12 @@ def pca_scores(rows: DataFrame, vec: str, k: int, out: str = "scores") -> DataFr
 def whitened(rows: DataFrame, vec: str, out: str = "white") -> DataFrame:
     """U * sqrt(n - 1) of the centred rows, axes with singular value above 1e-6 of the greatest kept, then unit length.
 
-    A single row has no spread: its vector has no elements.
+    A single row has no spread: its vector has no elements. Vectors wider than MOST_WIDTH (VLAD's) are whitened through
+    the products of their rows, of which there may then be MOST_WIDTH; more of both is an error.
     """
+    n, width = rows.where(F.col(vec).isNotNull()).agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    if (width or 0) > MOST_WIDTH and n <= MOST_WIDTH:
+        return _whitened_wide(rows.where(F.col(vec).isNotNull()), vec, width, out)
     n, mean, gram = _moments(rows, vec)
     values, vectors = np.linalg.eigh(gram)
     s = np.sqrt(np.maximum(values, 0))
@@ -67,6 +104,16 @@ def whitened(rows: DataFrame, vec: str, out: str = "white") -> DataFrame:
     return _projected(known, vec, mean, axes, out).withColumn(out, l2_normalized(F.col(out)))
 
 
+def _whitened_wide(known: DataFrame, vec: str, width: int, out: str) -> DataFrame:
+    g, names, numbered = _row_products(known, vec, width)
+    values, vectors = np.linalg.eigh(g)
+    s = np.sqrt(np.maximum(values, 0))
+    kept = s > 1e-6 * s.max() if s.max() > 0 else np.zeros(len(s), bool)
+    u = vectors[:, kept] * np.sqrt(max(len(g) - 1, 1))
+    made = known.sparkSession.createDataFrame(pa.table({"_row": pa.array(names, pa.int64()), out: pa.array(u.tolist(), pa.list_(pa.float64()))}))
+    return numbered.join(made, "_row").drop("_row").withColumn(out, l2_normalized(F.col(out)))
+
+
 def covariance_pca(rows: DataFrame, vec: str, dim: int, power: float = 0.5, out: str = "scores") -> DataFrame:
     """The older PCA: eigenvalues of the covariance clamped at 1e-5 of the greatest, axes scaled by value ** -power."""
     n, mean, gram = _moments(rows, vec)
