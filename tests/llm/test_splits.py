@@ -43,3 +43,14 @@ def test_proportions_and_stability(spark):
     assert abs(sum(v == "train" for v in a.values()) / 3000 - 0.8) < 0.03
     # more weight for one split only moves hands into it
     assert all(a[h] == b[h] or b[h] == "test" for h in a)
+
+
+def test_large_components_fill_the_proportions(spark):
+    # one hand holds a fifth of the pages, some hold much, the rest little
+    sizes = [400, 150, 90, 60, 40, 30, 20, 10] + [1] * 1200
+    rows = [(f"h{i}", f"p{i}-{j}") for i, n in enumerate(sizes) for j in range(n)]
+    df = spark.createDataFrame(rows, "hand string, page string")
+    got = {r["hand"]: r["split"] for r in splits.grouped_splits(df, "hand", ["page"]).collect()}
+    for s, w in splits.SPLITS.items():
+        assert abs(sum(n for i, n in enumerate(sizes) if got[f"h{i}"] == s) / sum(sizes) - w) < 0.02
+    assert splits.grouped_splits(df.limit(0), "hand", ["page"]).count() == 0

@@ -20,6 +20,7 @@ from vellum.runtime import settle
 TOTAL = 1000
 MAX_USES = 3
 BUCKET_UNITS = 1024
+SEPARATOR = "\x1f"
 SLACK = 1e-7  # flow amounts below this are rounding
 
 
@@ -117,20 +118,27 @@ def shares_of(weights: DataFrame, entry: str, source: str, weight: str) -> DataF
     return summed.select("entry", "source", (F.col("w") / F.sum("w").over(Window.partitionBy("entry"))).alias("share"))
 
 
+def _supplied(shares: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(entry, fold, mine, pattern, units): each entry's patterns, ``mine`` being the sources of the pattern that the entry asks for."""
+    supply = patterns.where("units > 0").select("pattern", F.col("units").cast("long").alias("units"), F.explode("sources").alias("source"))
+    met = shares.select("entry", "source").join(supply, "source").groupBy("entry", "pattern").agg(F.array_sort(F.collect_set("source")).alias("mine"), F.max("units").alias("units"))
+    return met.select("entry", F.array_join("mine", SEPARATOR).alias("fold"), "mine", "pattern", "units")
+
+
 def mixture_plan(shares: DataFrame, patterns: DataFrame, total: int = TOTAL, max_uses: int = MAX_USES, whole: bool = False) -> DataFrame:
     """Flow of every entry: (entry, source, share, quota, filled, pattern, starts, ends).
 
     ``shares`` is (entry, source, share) with shares adding up to 1; ``patterns`` is (pattern, sources ARRAY, units), a
     unit being usable ``max_uses`` times in all. For each entry and source one row without a pattern says how much
     of the quota share * total was filled; with ``whole`` quotas are whole numbers, and rows with a pattern say
-    which stretch [starts, ends) of the pattern's uses (all first uses, then all second ones, ...) goes to the source. A source in
-    no pattern is filled 0. Null or negative units count 0. Empty shares give no rows.
+    which stretch [starts, ends) of uses (all first uses, then all second ones, ...) goes to the source. That pattern is a
+    fold: all patterns that have the same of the entry's sources are one to it, however many other sources hold their
+    records. A source in no pattern is filled 0. Null or negative units count 0. Empty shares give no rows.
     """
     kind = shares.schema["entry"].dataType.simpleString()
-    supply = patterns.where("units > 0").select("pattern", F.col("units").cast("long").alias("units"), F.explode("sources").alias("source"))
-    met = shares.join(supply, "source").groupBy("entry", "pattern").agg(F.collect_set("source").alias("sources"), F.max("units").alias("units"))
-    supplied = met.groupBy("entry").agg(F.collect_list(F.struct("pattern", "sources", "units")).alias("supply"))
-    # both lists are bounded by one entry's own list of sources and the patterns that meet it
+    folds = _supplied(shares, patterns).groupBy("entry", "fold").agg(F.first("mine").alias("sources"), F.sum("units").alias("units"))
+    supplied = folds.groupBy("entry").agg(F.collect_list(F.struct(F.col("fold").alias("pattern"), "sources", "units")).alias("supply"))
+    # both lists hang on the entry's own list of sources alone
     asked = shares.groupBy("entry").agg(F.collect_list(F.struct("source", "share")).alias("wanted"))
     rows = asked.join(supplied, "entry", "left").select("entry", "wanted", "supply")
     return rows.mapInArrow(_route(total, max_uses, whole), f"entry {kind}, source string, share double, quota double, filled double, pattern string, starts long, ends long")
@@ -141,7 +149,7 @@ def membership_patterns(members: DataFrame, record: list[str], source: str, size
     c = lambda x: F.col(f"`{x}`")
     amount = F.lit(1).cast("long") if size is None else F.coalesce(c(size).cast("long"), F.lit(0).cast("long"))
     known = members.where(c(source).isNotNull()).groupBy(*map(c, record)).agg(F.array_sort(F.collect_set(c(source))).alias("sources"), F.max(amount).alias("size"))
-    return known.where("size > 0").withColumn("pattern", F.array_join("sources", "\x1f"))
+    return known.where("size > 0").withColumn("pattern", F.array_join("sources", SEPARATOR))
 
 
 def drawn_mixture(members: DataFrame, record: list[str], source: str, shares: DataFrame, size: str | None = None, total: int = TOTAL, max_uses: int = MAX_USES, seed: int = 5) -> DataFrame:
@@ -156,15 +164,22 @@ def drawn_mixture(members: DataFrame, record: list[str], source: str, shares: Da
     c = lambda x: F.col(f"`{x}`")
     known = membership_patterns(members, record, source, size).withColumn("draw", F.xxhash64(F.lit(seed), *map(c, record)))
     placed = settle(balanced_positions(known, "pattern", ["draw", *record], "size", "place", "units").withColumn("bucket", F.floor(F.col("place") / BUCKET_UNITS)))
-    patterns = placed.groupBy("pattern").agg(F.any_value("sources").alias("sources"), F.max("units").alias("units"))
-    flows = mixture_plan(shares, patterns, total, max_uses, whole=True).where("pattern is not null")
-    turn: Column = F.pmod(F.xxhash64(F.lit(seed), "entry", "pattern"), F.col("units"))
-    n_buckets = F.ceil(F.col("units") / BUCKET_UNITS)
-    begin = F.floor(F.pmod(F.col("starts") - F.col("turn"), F.col("units")) / BUCKET_UNITS)
-    some = F.transform(F.sequence(F.lit(0).cast("long"), F.least(n_buckets, F.ceil((F.col("ends") - F.col("starts")) / BUCKET_UNITS) + 1)), lambda i: F.pmod(begin + i, n_buckets))
-    aimed = flows.join(patterns.select("pattern", "units"), "pattern").withColumn("turn", turn)
-    aimed = aimed.select("entry", "source", "pattern", "starts", "ends", "turn", F.explode(F.array_distinct(some)).alias("bucket"))
-    at = F.pmod(F.col("place") + F.col("turn"), F.col("units"))
-    uses = F.floor((F.col("ends") - 1 - at) / F.col("units")) - F.floor((F.col("starts") - 1 - at) / F.col("units"))
-    taken = aimed.join(placed, ["pattern", "bucket"]).select("entry", aimed["source"], *map(c, record), uses.alias("uses")).where("uses > 0")
-    return taken
+    patterns = settle(placed.groupBy("pattern").agg(F.any_value("sources").alias("sources"), F.max("units").alias("units")))
+    flows = mixture_plan(shares, patterns, total, max_uses, whole=True).where("pattern is not null").withColumnRenamed("pattern", "fold")
+    # a fold's patterns stand one behind the other
+    parts = _supplied(shares, patterns).withColumn("ef", F.concat_ws(SEPARATOR, F.col("entry").cast("string"), "fold"))
+    parts = balanced_positions(parts, "ef", ["pattern"], "units", "offset", "fold_units").drop("ef", "mine")
+    aimed = flows.select("entry", "source", "fold", "starts", "ends").join(parts, ["entry", "fold"])
+    aimed = aimed.withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), "entry", "fold"), F.col("fold_units")))
+    begin, length = F.pmod(F.col("starts") - F.col("turn"), F.col("fold_units")), F.least(F.col("ends") - F.col("starts"), F.col("fold_units"))
+
+    def buckets(back: Column) -> Column:
+        """Buckets of the pattern in which the stretch, on its first or second way around the fold, takes records."""
+        lo, hi = F.greatest(F.lit(0).cast("long"), begin - back - F.col("offset")), F.least(F.col("units"), begin + length - back - F.col("offset"))
+        return F.when(lo < hi, F.sequence(F.floor(lo / BUCKET_UNITS), F.floor((hi - 1) / BUCKET_UNITS))).otherwise(F.array().cast("array<bigint>"))
+
+    met = aimed.withColumn("bucket", F.explode(F.array_union(buckets(F.lit(0).cast("long")), buckets(F.col("fold_units")))))
+    held = placed.drop("units", "sources")
+    at = F.pmod(F.col("offset") + F.col("place") + F.col("turn"), F.col("fold_units"))
+    uses = F.floor((F.col("ends") - 1 - at) / F.col("fold_units")) - F.floor((F.col("starts") - 1 - at) / F.col("fold_units"))
+    return met.join(held, ["pattern", "bucket"]).select("entry", met["source"], *map(c, record), uses.alias("uses")).where("uses > 0")

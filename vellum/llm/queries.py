@@ -50,6 +50,19 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _shared_names(spark: SparkSession, d: str) -> DataFrame:
+    """(name, filename): images by file name alone, so that one name in several folders is one record of several sources."""
+    now = table(spark, d, "images").where(is_image("filename") & F.col("removed_at").isNull())
+    return now.select(F.lower("dataset").alias("name"), "filename").distinct()
+
+
+def p1_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each entry's total can be filled where a file name that several folders have is one image of all of them."""
+    patterns = mixing.membership_patterns(_shared_names(spark, d), ["filename"], "name").groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("units"))
+    plan = mixing.mixture_plan(_shares(spark, d), patterns).where("pattern is null")
+    return plan.groupBy(F.col("entry").alias("model_id")).agg(F.count(F.lit(1)).alias("n_sources"), F.round(F.sum("quota"), 4).alias("quota"), F.round(F.sum("filled"), 4).alias("filled"))
+
+
 def p1_draw(spark: SparkSession, d: str) -> DataFrame:
     """The images drawn for every entry from the images now in their folders."""
     now = table(spark, d, "images").where(is_image("filename") & F.col("removed_at").isNull()).select(F.lower("dataset").alias("name"), "dataset", "filename")
@@ -155,7 +168,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_shares, p1_draw, p2_found, p2_split, p2_shares, p3_found, p3_communities, p6_found, p6_similar, p8_pack, p8_containers, p9_found, p9_alignments, p10_found, p10_texts)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p1_overlap, p1_draw, p2_found, p2_split, p2_shares, p3_found, p3_communities, p6_found, p6_similar, p8_pack, p8_containers, p9_found, p9_alignments, p10_found, p10_texts)}
 
 
 # ---- the same results in SQL
@@ -181,18 +194,35 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 comp AS (SELECT a AS hand_id, min(b) AS component FROM reach GROUP BY 1)"""
 
 _U = "(CAST('0x' || substr(md5('splits|{0}|' || component), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE"
-_PUT = ", ".join(f"{{'score': {w}::DOUBLE / ln({_U.format(s)}), 'split': '{s}'}}" for s, w in splits.SPLITS.items())
+_NAMES = list(splits.SPLITS)
+_PUT = ", ".join(f"{{'score': lack{i} / ln({_U.format(s)}), 'split': '{s}'}}" for i, s in enumerate(_NAMES))
+# The large components one after the other, then the rest by hash.
+_SPLITS = f"""{_PAGES}, sizes AS (SELECT component, count(*) AS n FROM (SELECT DISTINCT dataset, f, component FROM pages JOIN comp ON h = hand_id) GROUP BY 1),
+n_all AS (SELECT CAST(sum(n) AS BIGINT) AS n_all FROM sizes), large AS (SELECT component, n, row_number() OVER (ORDER BY n DESC, component) AS pos FROM sizes, n_all WHERE n * {splits.LARGE_SHARE} > n_all.n_all),
+fold AS (SELECT 0::BIGINT AS pos, '' AS component, '' AS split, {', '.join(f'{w}::DOUBLE * n_all AS lack{i}' for i, w in enumerate(splits.SPLITS.values()))} FROM n_all
+  UNION ALL SELECT pos, component, split, {', '.join(f"lack{i} - CASE WHEN split = '{s}' THEN n ELSE 0 END AS lack{i}" for i, s in enumerate(_NAMES))} FROM (
+    SELECT large.pos, large.component, large.n, {', '.join(f'lack{i}' for i in range(len(_NAMES)))},
+      CASE greatest({', '.join(f'lack{i}' for i in range(len(_NAMES)))}) {' '.join(f"WHEN lack{i} THEN '{s}'" for i, s in enumerate(_NAMES))} END AS split FROM fold JOIN large ON large.pos = fold.pos + 1)),
+need AS (SELECT {', '.join(f'greatest(lack{i}, 0) AS lack{i}' for i in range(len(_NAMES)))} FROM fold ORDER BY pos DESC LIMIT 1),
+placed AS (SELECT hand_id, component, coalesce(fold.split, list_min([{_PUT}]).split) AS split FROM comp LEFT JOIN (SELECT component, split FROM fold WHERE pos > 0) fold USING (component), need)"""
 
 
 def sql() -> dict:
-    placed = f"placed AS (SELECT hand_id, component, list_min([{_PUT}]).split AS split FROM comp)"
     return {
         "p1_found": f"WITH {_MIX} SELECT model_id, name FROM f WHERE quota > 3 * n_images + 1e-7",
         "p1_shares": f"""WITH {_MIX} SELECT model_id, name, round(share, 6) AS target_share, round(quota, 4) AS quota, n_images, round(filled, 4) AS filled,
             round(CASE WHEN sum(filled) OVER (PARTITION BY model_id) > 0 THEN filled / sum(filled) OVER (PARTITION BY model_id) ELSE 0 END, 6) AS reached_share FROM f""",
+        # the greatest flow is the least cut: some sources' quotas, and all uses of the images that any other source has
+        "p1_overlap": f"""WITH {_MIX}, k AS (SELECT model_id, name, share * 1000 AS quota, row_number() OVER (PARTITION BY model_id ORDER BY name) - 1 AS bit FROM s),
+            img AS (SELECT DISTINCT lower(dataset) AS name, filename FROM images WHERE removed_at IS NULL AND regexp_matches(lower(filename), '\\.(png|jpg|jpeg|tif|tiff|bmp|webp)\\z')),
+            mask AS (SELECT model_id, mask, count(*) AS units FROM (SELECT model_id, filename, CAST(sum(1 << bit) AS BIGINT) AS mask FROM k JOIN img USING (name) GROUP BY 1, 2) GROUP BY 1, 2),
+            cut AS (SELECT model_id, unnest(range(0, 1 << CAST(count(*) AS INT))) AS cut, sum(quota) AS all_quota, count(*) AS n FROM k GROUP BY 1),
+            paid AS (SELECT cut.model_id, cut, coalesce(sum(quota) FILTER (cut & (1 << bit) <> 0), 0) AS quota FROM cut JOIN k USING (model_id) GROUP BY 1, 2),
+            used AS (SELECT paid.model_id, cut, any_value(quota) + 3 * coalesce(sum(units) FILTER (mask & ~cut <> 0), 0) AS capacity FROM paid LEFT JOIN mask USING (model_id) GROUP BY 1, 2)
+            SELECT model_id, any_value(n) AS n_sources, round(any_value(all_quota), 4) AS quota, round(min(capacity), 4) AS filled FROM used JOIN (SELECT DISTINCT model_id, all_quota, n FROM cut) USING (model_id) GROUP BY 1""",
         "p2_found": f"WITH RECURSIVE {_PAGES} SELECT a AS hand_a, b AS hand_b FROM reach WHERE a < b",
-        "p2_split": f"WITH RECURSIVE {_PAGES}, {placed} SELECT hand_id, component, split FROM placed",
-        "p2_shares": f"""WITH RECURSIVE {_PAGES}, {placed}, r AS (SELECT {_trim('hand_id')} AS hand_id FROM labels WHERE {_trim('hand_id')} <> '' AND {_trim('filename')} <> '')
+        "p2_split": f"WITH RECURSIVE {_SPLITS} SELECT hand_id, component, split FROM placed",
+        "p2_shares": f"""WITH RECURSIVE {_SPLITS}, r AS (SELECT {_trim('hand_id')} AS hand_id FROM labels WHERE {_trim('hand_id')} <> '' AND {_trim('filename')} <> '')
             SELECT split, count(*) AS n_rows, count(DISTINCT hand_id) AS n_hands, count(DISTINCT component) AS n_components, round(count(*) / (SELECT count(*) FROM r), 6) AS share
             FROM r JOIN placed USING (hand_id) GROUP BY split""",
         "p6_found": """WITH u AS (SELECT row_id, CAST(vec AS DOUBLE[96]) AS v FROM mapping WHERE len(vec) = 96 AND len(list_filter(vec, lambda x: isfinite(x))) = 96 AND len(list_filter(vec, lambda x: x <> 0)) > 0)
