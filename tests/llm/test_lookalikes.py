@@ -49,8 +49,9 @@ def test_whole_table_against_brute_force(spark, folder):
     got = {r["doc_id"]: r for r in L.consistent_text(docs, "text", ["doc_id"]).collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     assert {d for d, r in got.items() if r["findings"]} == {d for d, t in texts.items() if brute(t)}
+    known = L.public_tables(spark)
     for r in got.values():
-        assert L.consistent(r["consistent_text"])[0] == r["consistent_text"]
+        assert L.consistent(r["consistent_text"], known=known)[0] == r["consistent_text"]
 
 
 def test_rows_long_texts_and_empty(spark):
@@ -64,3 +65,22 @@ def test_rows_long_texts_and_empty(spark):
 def test_scripts():
     assert L.resolved_scripts("сор") == {"Latin", "Cyrillic"} or "Latin" in L.resolved_scripts("сор")
     assert L.whole_script_confusable("сор", "Latin") and not L.whole_script_confusable("слово", "Latin")
+
+
+def test_public_confusables(spark):
+    known = L.public_tables(spark)
+    assert len(known.alike) > 500 and {"Armenian", "Cherokee"} <= set(known.scripts)
+    assert known.alike["\u0430"]["Latin"] == "a" and known.alike["a"]["Cyrillic"] == "\u0430"
+    # the fixed look-alikes hold on top
+    assert known.alike["\u043a"]["Latin"] == "k"
+    assert L.resolved_scripts("\u0561", known) >= {"Armenian"}
+    for text in ("p\u0430yp\u0430l", "\u0395\u03bb\u03bb\u03ac\u03b4a"):
+        assert L.consistent(text, known=known)[0] == L.consistent(text)[0]
+
+
+def test_whole_words_are_respelled_on_demand(spark):
+    text = "a long plain text about \u0441\u043e\u0440 and \u0441\u043b\u043e\u0432\u043e"
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    kept, changed = (L.consistent_text(df, "text", ["id"], respell_whole=w).first() for w in (False, True))
+    assert kept["consistent_text"] == text and kept["n_whole_script"] == 1 and kept["findings"] == changed["findings"] == 0
+    assert changed["consistent_text"] == "a long plain text about cop and \u0441\u043b\u043e\u0432\u043e"

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.lookalikes import consistent
+from vellum.llm.lookalikes import Tables, consistent, public_tables
 
 WINDOW = 12  # consecutive words that make a leak
 LEAST = 0.5  # share of a full match from which an edited copy counts
@@ -26,9 +26,9 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str | None) -> list[str]:
+def words_of(text: str | None, known: Tables | None = None) -> list[str]:
     """Runs of letters and digits of the consistent form, case folded."""
-    return WORD.findall(consistent(text)[0].casefold()) if text else []
+    return WORD.findall(consistent(text, known=known)[0].casefold()) if text else []
 
 
 def gram_keys(ids: np.ndarray, n: int) -> np.ndarray:
@@ -172,17 +172,18 @@ class _Sought:
                 break
 
 
-def _found(vocabulary: dict[str, int], sought: _Sought, window: int):
+def _found(shared, window: int):
     """(id, item, score, longest_run, is_leak) of the documents' leaks and edited copies."""
 
     def run(batches):
+        vocabulary, sought, known = shared.value
         number = vocabulary.get
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 rows = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    words = words_of(text)
+                    words = words_of(text, known)
                     ids = np.fromiter((number(w, 0) for w in words), np.int64, len(words))
                     if not ids.any():
                         continue
@@ -203,13 +204,16 @@ def _found(vocabulary: dict[str, int], sought: _Sought, window: int):
 def _block(docs: DataFrame, kind: str, rows: list, item_kind: str, window: int, edited: bool) -> DataFrame | None:
     """One pass for a block of items."""
     spark = docs.sparkSession
-    words = [words_of(r[1]) for r in rows]
+    known = public_tables(spark)
+    words = [words_of(r[1], known) for r in rows]
     kept = [(r[0], w) for r, w in zip(rows, words, strict=True) if w]
     if not kept:
         return None
     vocabulary: dict[str, int] = {}
     items = [[vocabulary.setdefault(x, len(vocabulary) + 1) for x in w] for _, w in kept]
-    scored = docs.mapInArrow(_found(vocabulary, _Sought(items, window, edited), window), f"id {kind}, item int, score double, longest_run int, is_leak boolean")
+    # bounded by BLOCK_WORDS, whatever the corpus
+    shared = spark.sparkContext.broadcast((vocabulary, _Sought(items, window, edited), known))
+    scored = docs.mapInArrow(_found(shared, window), f"id {kind}, item int, score double, longest_run int, is_leak boolean")
     names = spark.createDataFrame(pa.table({"item": pa.array(range(len(kept)), pa.int32()), "item_key": pa.array([str(k[0]) for k in kept], pa.string())})).select("item", F.col("item_key").cast(item_kind).alias("item_key"))
     return scored.join(F.broadcast(names), "item").groupBy("id", "item_key").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"), F.max("is_leak").alias("is_leak"))
 
