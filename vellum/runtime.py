@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
+_written: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,15 +34,31 @@ def shared_folder(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vellum-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/vellum-{spark.sparkContext.applicationId}"
+    if home not in _written:
+        _written.add(home)
+        atexit.register(_remove, spark, home)
+    path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._settled_at = path
     return again
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder; where the JVM is gone already (at the end of the application) only a file path can be removed."""
+    if path.startswith("file:"):
+        shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
+        return
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+    except Exception:  # noqa: BLE001, S110
+        pass
+
+
 def discard(df: DataFrame | None) -> None:
-    """Remove a table written by :func:`settle` that nothing reads any more."""
+    """Remove a table written by :func:`settle` that nothing reads any more; the others go when the application ends."""
     path = getattr(df, "_settled_at", None)
     if path:
         jvm, spark = df.sparkSession._jvm, df.sparkSession
