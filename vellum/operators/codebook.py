@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.vectors import doubles, l2_normalized, signed_sqrt
+from vellum.runtime import shared
 
 MOST_CENTRE_BYTES = 1 << 29  # a codebook is broadcast to the executors
 MOST_DESCRIPTORS = 200_000  # sample on which a codebook is fitted
@@ -72,11 +73,11 @@ def nearest_centres(descriptors: DataFrame, codebook: DataFrame, vec: str) -> Da
         raise ValueError("codebook too large to be broadcast")
     rows = codebook.orderBy("cluster_id").collect()
     kind = codebook.schema["cluster_id"].dataType.simpleString()
-    shared = descriptors.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+    book = shared(descriptors.sparkSession, ([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
     pa_kind = {"int": pa.int32(), "bigint": pa.int64()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, centres = shared.value
+        ids, centres = book()
         names, squares = pa.array(ids, pa_kind), (centres * centres).sum(1)
         step = max(1, (1 << 22) // max(1, len(centres)))
         for whole in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.vectors import doubles, l2_normalized
-from vellum.runtime import settle
+from vellum.runtime import settle, shared
 
 MOST_WIDTH = 4096  # side of the greatest matrix that the driver decomposes: a covariance, or of wider vectors the products of their rows
 BLOCK_COLUMNS = 512
@@ -42,11 +42,11 @@ def _moments(rows: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
 
 def _projected(rows: DataFrame, vec: str, mean: np.ndarray, axes: np.ndarray, out: str) -> DataFrame:
     """vec centred and multiplied with the columns of ``axes``: one matrix product a batch, the axes broadcast once."""
-    shared = rows.sparkSession.sparkContext.broadcast((mean, axes))
+    frame = shared(rows.sparkSession, (mean, axes))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, a = shared.value
+        m, a = frame()
         for b in batches:
             at = b.schema.names.index("_c")
             x = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(m)) - m

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
@@ -71,6 +74,19 @@ def fan_out(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def shared(spark: SparkSession, value) -> Callable[[], object]:
+    """A function that gives ``value`` in any task. It is broadcast as its pickle, classes by value as in functions for workers."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list = []
+
+    def get():
+        if not held:
+            held.append(pickle.loads(sent.value))  # noqa: S301
+        return held[0]
+
+    return get
+
+
 def private(df: DataFrame, *names: str) -> list[str]:
     """Column names for an operator's own use which clash with no column of ``df``."""
     taken = {c.lower() for c in df.columns}
