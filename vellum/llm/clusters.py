@@ -1,9 +1,9 @@
 """Similarity clusters: a neighbour graph by neighbour descent, communities by modularity, described by their centre.
 
-The graph starts from exact neighbours within the shards of two differently seeded vantage-point routings, so that
+The graph starts from exact neighbours within the shards of differently seeded vantage-point routings, so that
 the lists cross shard borders; rounds of neighbour descent then compare the neighbours of every vector with
-each other. Links between components which the lists may lack are then searched for exactly. Communities grow
-by local moves of greatest modularity gain until none gains, over as many levels of the graph as still merge.
+each other until few lists change. Communities grow by local moves of greatest modularity gain until none gains,
+over as many levels of the graph as still merge.
 """
 
 from __future__ import annotations
@@ -18,50 +18,128 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.components import hash_to_min
-from vellum.llm.neighbours import _homes
-from vellum.llm.vectors import VantageTree, distance, folded_copies, from_binary, to_binary, unit_vectors
+from vellum.llm.routing import OVER, routed
+from vellum.llm.vectors import folded_copies, from_binary, to_binary, unit_vectors
 from vellum.runtime import discard, fan_out, settle
 
 NEIGHBOURS = 8
-SHARD_ROWS = 2048
-SAMPLE_A_SHARD = 128
-MOST_SAMPLE = 1 << 16
-ROUNDS = 2
+NEAR = 0.5  # least cosine of an entry of a neighbour list: what is further leads to no link
+SHARD_ROWS = 4096
+ROUTINGS = 4
+MOST_ROUNDS = 50  # rounds never reach this; it ends in an error
+FEW = 0.001  # the descent ends when fewer than this share of the lists' entries are new
 LINK = 0.8
 MOVES = 4
 MOST_TURNS = 1000  # turns never reach this; it ends in an error
 GAIN = 1e-9  # of a node's degree: gains below it are rounding
 LOCAL_LINKS = 1 << 18  # a component of more links is settled by turns of all tasks
-BALLS, ROWS_A_TASK = 4096, 16384  # components and rows that meet in one task of the search for missing links
-MEET_ROWS = 2048  # rows of either side that are compared in one task, all of whose pairs may be links
 HALF_ERROR = 0.004  # float16 cosines are off by far less; links this near the threshold are measured again
 
 
-def _in_shard(dim: int, k: int):
-    """The k nearest of each row within its shard, by blocks."""
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of the component of each of n nodes."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(low, root[a], least)
+        np.minimum.at(low, root[b], least)
+        while (low[low] != low).any():
+            low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _met(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int, least: float, same: bool) -> list[np.ndarray]:
+    """[v, u, cos]: for rows of x the k nearest of y with cosine NEAR or more, and a link for every two groups of rows that
+    only links beyond these lists join; ``same`` if y is x."""
+    n, shift = len(x), 0 if same else len(x)
+    vs, us, cs = [], [], []
+
+    def blocks():
+        for a in range(0, n, 512):
+            c = x[a : a + 512] @ y.T
+            if same:
+                c[np.arange(len(c)), np.arange(a, a + len(c))] = -2
+            yield a, c
+
+    for a, c in blocks():
+        m = min(k, c.shape[1])
+        if np.count_nonzero(c >= NEAR) > 4 * m * len(c):
+            # a dense block: the greatest of each row without a sort of all that are near
+            j = np.argpartition(-c, m - 1, axis=1)[:, :m].ravel()
+            i = np.repeat(np.arange(len(c)), m)
+            near = c[i, j] >= NEAR
+            i, j = i[near], j[near]
+        else:
+            i, j = np.nonzero(c >= NEAR)
+            order = np.lexsort((others[j], -c[i, j], i))
+            i, j = i[order], j[order]
+            near = np.arange(len(i)) - np.searchsorted(i, np.arange(len(c)))[i] < k
+            i, j = i[near], j[near]
+        vs.append(i + a)
+        us.append(j)
+        cs.append(c[i, j])
+    v, u, w = np.concatenate(vs), np.concatenate(us), np.concatenate(cs)
+    sure = w >= least + 1e-6
+    root = _roots(shift + len(y), v[sure], u[sure] + shift)
+    if len(np.unique(root)) > 1:
+        # links beyond the lists, where they join what the lists leave apart
+        for a, c in blocks():
+            i, j = np.nonzero((c >= least + 1e-6) & (root[a : a + len(c), None] != root[None, shift:]))
+            if len(i):
+                p, q = root[i + a], root[j + shift]
+                _, once = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0, return_index=True)
+                v, u, w = np.append(v, i[once] + a), np.append(u, j[once]), np.append(w, c[i[once], j[once]])
+    return [ids[v], others[u], w.astype(np.float32)]
+
+
+def _table(found: list[np.ndarray]) -> pa.Table:
+    return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float32())], names=["v", "u", "cos"])
+
+
+def _in_shard(dim: int, k: int, least: float):
+    """Near rows and links within a shard."""
 
     def run(t: pa.Table) -> pa.Table:
         x, ids = from_binary(t["vec"], dim), t["id"].to_numpy()
-        n = len(ids)
-        m = min(k, n - 1)
-        if m < 1:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float32())], names=["v", "u", "cos"])
-        vs, us, cs = [], [], []
-        for a in range(0, n, 1024):
-            c = x[a : a + 1024] @ x.T
-            c[np.arange(len(c)), np.arange(a, a + len(c))] = -2
-            top = np.argpartition(-c, m - 1, axis=1)[:, :m]
-            vs.append(np.repeat(ids[a : a + 1024], m))
-            us.append(ids[top].ravel())
-            cs.append(np.take_along_axis(c, top, 1).ravel())
-        return pa.table([pa.array(np.concatenate(vs)), pa.array(np.concatenate(us)), pa.array(np.concatenate(cs).astype(np.float32))], names=["v", "u", "cos"])
+        return _table(_met(x, ids, x, ids, k, least, True))
+
+    return run
+
+
+def _across(dim: int, k: int, least: float):
+    """Near rows and links between two cuts of a shard, told from both sides."""
+
+    def run(t: pa.Table, o: pa.Table) -> pa.Table:
+        x, ids, y, others = from_binary(t["vec"], dim), t["id"].to_numpy(), from_binary(o["vec"], dim), o["id"].to_numpy()
+        if not len(ids) or not len(others):
+            return _table([np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.float32)])
+        one, two = _met(x, ids, y, others, k, least, False), _met(y, others, x, ids, k, least, False)
+        return _table([np.append(p, q) for p, q in zip(one, two, strict=True)])
 
     return run
 
 
+def _near_in_shards(homed: DataFrame, dim: int, k: int, least: float, shard_rows: int) -> DataFrame:
+    """(v, u, cos) within the shards of homed (id, vec, shard). A shard that routing could not divide, its vectors all but
+    coinciding, is cut by hash, and every two of its cuts meet too."""
+    cuts = settle(homed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (OVER * shard_rows)).cast("int").alias("cuts")))
+    dealt = homed.join(cuts, "shard").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    inside = dealt.groupBy("shard", "cut").applyInArrow(_in_shard(dim, k, least), "v long, u long, cos float")
+    if not cuts.where("cuts > 1").limit(1).count():
+        return inside
+    hard = dealt.where("cuts > 1")
+    first = hard.withColumn("j", F.explode(F.sequence(F.col("cut"), F.col("cuts") - 1))).where("j > cut").select("shard", F.col("cut").alias("i"), "j", "id", "vec")
+    second = hard.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cut")))).where("i < cut").select("shard", "i", F.col("cut").alias("j"), "id", "vec")
+    return inside.unionByName(first.groupBy("shard", "i", "j").cogroup(second.groupBy("shard", "i", "j")).applyInArrow(_across(dim, k, least), "v long, u long, cos float"))
+
+
 def _best(edges: DataFrame, k: int) -> DataFrame:
+    """The k nearest entries of each list; an entry has the routings (bits of ``tag``) whose shards hold both, and is ``fresh`` if new."""
     w = Window.partitionBy("v").orderBy(F.desc("cos"), "u")
-    once = edges.groupBy("v", "u").agg(F.max("cos").alias("cos"))
+    once = edges.groupBy("v", "u").agg(F.max("cos").alias("cos"), F.bit_or("tag").alias("tag"), F.min("fresh").alias("fresh"))
     return once.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k).drop("at")
 
 
@@ -71,20 +149,23 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("id"), to_binary(x.astype(np.float16))], names=["id", "half"])
 
 
-def _local_join(dim: int, width: int):
-    """Rows (v, u, half, kth) sorted by v: better neighbours (v, u, cos) found among the members of each v."""
+def _local_join(dim: int, width: int, least: float):
+    """Rows (v, u, tag, fresh, half, kth) sorted by v: better neighbours, and links, among the members of each v that never met."""
 
-    def groups(v: np.ndarray, u: np.ndarray, x: np.ndarray, kth: np.ndarray) -> pa.RecordBatch:
+    def groups(v: np.ndarray, u: np.ndarray, tag: np.ndarray, fresh: np.ndarray, x: np.ndarray, kth: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
         size = np.diff(np.append(first, len(v)))
         slot = np.arange(len(v)) - np.repeat(first, size)
         g = np.repeat(np.arange(len(first)), size)
         wide = int(size.max())
+        grid = lambda fill, kind: np.full((len(first), wide), fill, kind)
         xs = np.zeros((len(first), wide, dim), np.float32)
-        us, ks = np.full((len(first), wide), -1, np.int64), np.full((len(first), wide), 9, np.float32)
-        xs[g, slot], us[g, slot], ks[g, slot] = x, u, kth
+        us, ks, ts, fs = grid(-1, np.int64), grid(9, np.float32), grid(-1, np.int32), grid(False, bool)
+        xs[g, slot], us[g, slot], ks[g, slot], ts[g, slot], fs[g, slot] = x, u, kth, tag, fresh
         c = xs @ xs.transpose(0, 2, 1)
-        good = (c > ks[:, :, None]) & (us[:, None, :] >= 0) & (us[:, :, None] != us[:, None, :])
+        # a better entry of the list of the first, or a link
+        good = (c > np.minimum(np.maximum(ks, NEAR), least - HALF_ERROR)[:, :, None]) & (us[:, None, :] >= 0) & (us[:, :, None] >= 0) & (us[:, :, None] != us[:, None, :])
+        good &= (ts[:, :, None] & ts[:, None, :] == 0) & (fs[:, :, None] | fs[:, None, :])
         a, i, j = np.nonzero(good)
         # two neighbours can meet at several v: each pair is told once here
         pair = np.unique(np.stack([us[a, i], us[a, j]], 1), axis=0, return_index=True)[1] if len(a) else np.zeros(0, int)
@@ -95,7 +176,8 @@ def _local_join(dim: int, width: int):
         held: list = []
 
         def parts(b):
-            return b.column("v").to_numpy(), b.column("u").to_numpy(), from_binary(b.column("half"), dim, np.float16).astype(np.float32), b.column("kth").to_numpy(zero_copy_only=False)
+            plain = [b.column(n).to_numpy(zero_copy_only=False) for n in ("v", "u", "tag", "fresh")]
+            return *plain, from_binary(b.column("half"), dim, np.float16).astype(np.float32), b.column("kth").to_numpy(zero_copy_only=False)
 
         for b in batches:
             if not b.num_rows:
@@ -119,38 +201,48 @@ def _local_join(dim: int, width: int):
     return run
 
 
-def neighbour_graph(reps: DataFrame, dim: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    """(v, u, cos): up to k near neighbours of each distinct vector of ``reps`` (rep, vec)."""
+def neighbour_graph(reps: DataFrame, dim: int, k: int = NEIGHBOURS, least: float = LINK, shard_rows: int = SHARD_ROWS, routings: int = ROUTINGS) -> DataFrame:
+    """(v, u, cos): near neighbours of each distinct vector of ``reps`` (rep, vec), and links of ``least`` or more that were met on the way.
+
+    Each of several routings puts like vectors into one shard, within which all pairs meet: the k nearest of each row are
+    its list, and where links beyond the lists join what the lists leave apart, one of them is kept. Neighbour descent
+    then lets two entries of a list meet, if they shared no shard and one of them is new, until few entries are new.
+    """
     spark = reps.sparkSession
+    points = reps.withColumnRenamed("rep", "id")
     n = reps.count()
-    shards = max(1, -(-n // SHARD_ROWS))
-    edges = None
-    for seed in (3, 4):
-        want = min(MOST_SAMPLE, n, shards * SAMPLE_A_SHARD)
-        hashed = F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 20))
-        sample = from_binary(reps.where(hashed < int(min(1.0, 1.3 * want / max(1, n)) * (1 << 20)) + 1).limit(want).select("vec").toArrow()["vec"], dim)
-        tree = VantageTree(sample, max(1, len(sample) // shards), seed).for_routing()
-        homed = reps.repartition(fan_out(spark)).withColumnRenamed("rep", "id").mapInArrow(_homes(tree, dim), "id long, vec binary, shard int")
-        # where the sample's bound leaves shards too large, they are cut by hash
-        cuts = homed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (4 * SHARD_ROWS)).cast("int").alias("cuts"))
-        homed = homed.join(F.broadcast(cuts), "shard").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")))
-        made = homed.select("id", "vec", "shard", "cut").groupBy("shard", "cut").applyInArrow(_in_shard(dim, k), "v long, u long, cos float")
-        edges = made if edges is None else edges.unionByName(made)
-    edges = settle(_best(edges, k))
-    halves = settle(reps.withColumnRenamed("rep", "id").mapInArrow(_narrow, "id long, half binary"))
-    for turn in range(rounds):
-        kth = edges.groupBy(F.col("v").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("cos")).otherwise(-1.0).cast("float").alias("kth"))
-        told = halves.join(kth, "id").withColumnRenamed("id", "u")
-        back = edges.select(F.col("u").alias("v"), F.col("v").alias("u"))
-        back = back.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64(F.lit(turn), "u")))).where(F.col("at") <= k).drop("at")
-        members = edges.select("v", "u").unionByName(back).distinct()
-        met = members.join(told, "u").select("v", "u", "half", "kth").repartition(fan_out(spark) * 2, "v").sortWithinPartitions("v")
-        better = met.mapInArrow(_local_join(dim, 1024), "v long, u long, cos float")
-        nxt = settle(_best(edges.unionByName(better), k))
+    met = None
+    for r in range(routings):
+        homed, _ = routed(points, n, dim, shard_rows, 3 + r)
+        made = settle(_near_in_shards(homed, dim, k, least, shard_rows).withColumn("tag", F.lit(1 << r)))
+        discard(homed)
+        met = made if met is None else met.unionByName(made)
+    edges = settle(_best(met.withColumn("fresh", F.lit(True)), k))
+    links = met.where(F.col("cos") >= least - HALF_ERROR).select("v", "u", "cos")
+    halves = settle(points.mapInArrow(_narrow, "id long, half binary"))
+    for turn in range(MOST_ROUNDS):
+        kth = edges.groupBy(F.col("v").alias("u")).agg(F.when(F.count(F.lit(1)) >= k, F.min("cos")).otherwise(-1.0).cast("float").alias("kth"))
+        back = edges.select(F.col("u").alias("v"), F.col("v").alias("u"), "tag", "fresh")
+        back = back.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("fresh"), F.xxhash64(F.lit(turn), "u")))).where(F.col("at") <= k).drop("at")
+        members = settle(edges.select("v", "u", "tag", "fresh").unionByName(back).groupBy("v", "u").agg(F.bit_or("tag").alias("tag"), F.max("fresh").alias("fresh")))
+        # entries that all share a shard have met
+        open_ = members.groupBy("v").agg(F.bit_and("tag").alias("all"), F.max("fresh").alias("any")).where("all = 0 and any").select("v")
+        asked = members.join(open_, "v").join(kth, "u", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0).cast("float")))
+        held = asked.join(halves.withColumnRenamed("id", "u"), "u").select("v", "u", "tag", "fresh", "half", "kth").repartition(fan_out(spark) * 2, "v").sortWithinPartitions("v")
+        better = settle(held.mapInArrow(_local_join(dim, 1024, least), "v long, u long, cos float"))
+        links = links.unionByName(better.where(F.col("cos") >= least - HALF_ERROR))
+        old = edges.withColumn("fresh", F.lit(False)).unionByName(better.withColumns({"tag": F.lit(0), "fresh": F.lit(True)}))
+        nxt = settle(_best(old, k))
         discard(edges)
+        discard(members)
         edges = nxt
+        total, new = edges.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
+        if new <= FEW * total:
+            break
+    else:
+        raise RuntimeError("neighbour descent did not settle")
     discard(halves)
-    return edges
+    return edges.select("v", "u", "cos").unionByName(links)
 
 
 def links_above(edges: DataFrame, reps: DataFrame, dim: int, least: float = LINK) -> DataFrame:
@@ -284,120 +376,12 @@ def _communities_by_turns(links: DataFrame, m2: float, moves: int) -> DataFrame:
         graph = settle(joined.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
 
 
-def bridges(placed: DataFrame, reps: DataFrame, dim: int, least: float = LINK) -> DataFrame | None:
-    """(a, b, w), a < b: every link of cosine >= ``least`` between two components of ``placed`` (rep, component); None if there is none.
-
-    A bounded or approximate list may lack links. Every row is held against the balls (mean, radius) of the other components of
-    two or more rows, in blocks; a row that comes within link distance of a ball is compared with all rows in it. Rows that
-    are a component alone are compared with each other, block by block. So one pass sees every pair of components, exactly.
-    """
-    members = settle(placed.join(reps, "rep").select(F.col("rep").alias("id"), F.col("component").alias("comp"), "vec"))
-    sizes = settle(members.groupBy("comp").agg(F.count(F.lit(1)).alias("n")))
-    n_rows, n_alone, n_many = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") > 1)).first()
-    parts = []
-    if n_alone > 1:
-        alone = members.join(sizes.where("n = 1").select("comp"), "comp", "left_semi").select("id", "vec")
-        parts.append(_links_of_single_rows(alone, n_alone, dim, least))
-    if n_many:
-        parts.append(_links_into_balls(members, sizes.where("n > 1"), n_rows, n_many, dim, least))
-    if not parts:
-        return None
-    # a link between two balls is met from both sides
-    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    found = settle(found.groupBy("a", "b").agg(F.max("w").alias("w")))
-    return found if found.limit(1).count() else None
-
-
-def _met(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, once: bool = False) -> pa.Table:
-    """The links between rows of x and y; with ``once`` only those whose left id is the smaller."""
-    out: list = []
-    for at in range(0, len(x), 512):
-        # float32 finds the pairs near the threshold or above, float64 decides
-        i, j = np.nonzero(x[at : at + 512] @ y.T >= least - 1e-4)
-        i += at
-        if once:
-            i, j = i[left[i] < right[j]], j[left[i] < right[j]]
-        for lo in range(0, len(i), 1 << 16):
-            p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-            w = (x[p].astype(np.float64) * y[q]).sum(1)
-            p, q, w = p[w >= least], q[w >= least], w[w >= least]
-            out.append((np.minimum(left[p], right[q]), np.maximum(left[p], right[q]), w))
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "w"])
-
-
-def _links_of_single_rows(alone: DataFrame, n: int, dim: int, least: float) -> DataFrame:
-    """(a, b, w) between any two of the rows (id, vec)."""
-    blocks = -(-n // ROWS_A_TASK)
-    dealt = alone.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    first = dealt.select("id", "vec", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("j"))
-    second = dealt.select(F.col("id").alias("other"), F.col("vec").alias("there"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
-
-    def meet(rows: pa.Table, others: pa.Table) -> pa.Table:
-        same = bool(len(rows)) and rows["i"][0].as_py() == rows["j"][0].as_py()
-        return _met(from_binary(rows["vec"], dim), from_binary(others["there"], dim), rows["id"].to_numpy(), others["other"].to_numpy(), least, same)
-
-    return first.groupBy("i", "j").cogroup(second.groupBy("i", "j")).applyInArrow(meet, "a long, b long, w double")
-
-
-def _links_into_balls(members: DataFrame, many: DataFrame, n_rows: int, n_comp: int, dim: int, least: float) -> DataFrame:
-    """(a, b, w) between any row of members (id, comp, vec) and the rows of another component of ``many`` (comp, n)."""
-
-    def partial_sums(batches):
-        for b in batches:
-            x, comp = from_binary(b.column("vec"), dim).astype(np.float64), b.column("comp").to_numpy()
-            names, at = np.unique(comp, return_inverse=True)
-            total = np.zeros((len(names), dim))
-            np.add.at(total, at, x)
-            yield pa.record_batch([pa.array(names), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(np.bincount(at, minlength=len(names)).astype(np.int64))], names=["comp", "s", "n"])
-
-    sums = members.join(many.select("comp"), "comp", "left_semi").select("comp", "vec").mapInArrow(partial_sums, "comp long, s array<double>, n long").groupBy("comp").agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n"))
-    means = sums.select("comp", F.transform(vector_to_array("s"), lambda x: x / F.col("n")).alias("mean"), "n")
-
-    def spread(batches):
-        for b in batches:
-            x, m = from_binary(b.column("vec"), dim).astype(np.float64), np.array(b.column("mean").to_pylist()).reshape(-1, dim)
-            yield pa.record_batch([b.column("comp"), pa.array(np.sqrt(((x - m) ** 2).sum(1)))], names=["comp", "d"])
-
-    radii = members.join(means, "comp").select("comp", "vec", "mean").mapInArrow(spread, "comp long, d double").groupBy("comp").agg(F.max("d").alias("radius"))
-    balls = settle(means.join(radii, "comp").select("comp", "mean", "radius", "n"))
-    b_blocks, m_blocks = -(-n_comp // BALLS), -(-n_rows // ROWS_A_TASK)
-    dealt = members.select("id", "comp", "vec", F.pmod(F.xxhash64("id"), F.lit(m_blocks)).alias("mb"), F.explode(F.sequence(F.lit(0), F.lit(b_blocks - 1))).alias("bb"))
-    held = balls.select("comp", "mean", "radius", F.pmod(F.xxhash64("comp"), F.lit(b_blocks)).cast("int").alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m_blocks - 1).cast("long"))).alias("mb"))
-    reach = distance(least) + 1e-4
-
-    def near_balls(rows: pa.Table, targets: pa.Table) -> pa.Table:
-        out = [], []
-        if len(rows) and len(targets):
-            m, r, names = np.array(targets["mean"].to_pylist()), targets["radius"].to_numpy(), targets["comp"].to_numpy()
-            x, comp, ids = from_binary(rows["vec"], dim).astype(np.float64), rows["comp"].to_numpy(), rows["id"].to_numpy()
-            for a in range(0, len(x), 1024):
-                d2 = 1 + (m * m).sum(1)[None] - 2 * x[a : a + 1024] @ m.T
-                i, j = np.nonzero((d2 <= (reach + r)[None] ** 2) & (comp[a : a + 1024][:, None] != names[None]))
-                out[0].append(ids[a + i])
-                out[1].append(names[j])
-        return pa.table({"id": pa.array(np.concatenate(out[0]) if out[0] else [], pa.int64()), "target": pa.array(np.concatenate(out[1]) if out[1] else [], pa.int64())})
-
-    close = settle(dealt.groupBy("mb", "bb").cogroup(held.groupBy("mb", "bb")).applyInArrow(near_balls, "id long, target long"))
-    counts = close.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / MEET_ROWS).alias("pieces"))
-    cuts = settle(counts.join(balls.select(F.col("comp").alias("target"), F.ceil(F.col("n") / MEET_ROWS).alias("parts")), "target"))
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    asked = close.join(members.select("id", "vec"), "id").join(cuts, "target").select("target", upto("parts").alias("part"), F.pmod(F.xxhash64("id"), F.col("pieces")).alias("piece"), "id", "vec")
-    inside = members.join(cuts, F.col("comp") == F.col("target")).select("target", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), upto("pieces").alias("piece"), F.col("id").alias("other"), F.col("vec").alias("there"))
-
-    def meet(rows: pa.Table, ball: pa.Table) -> pa.Table:
-        return _met(from_binary(rows["vec"], dim), from_binary(ball["there"], dim), rows["id"].to_numpy(), ball["other"].to_numpy(), least)
-
-    keys = ["target", "part", "piece"]
-    return asked.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(meet, "a long, b long, w double")
-
-
 def linked_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: float = LINK) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (row_id, rep, cluster_id), links (a, b, w) between representatives of copies.
 
     A cluster is all that links of cosine >= ``least`` join, directly or through others; cluster_id is its smallest row_id.
-    The links are the neighbour graph's and all those between rows that it leaves in different components. Exact
-    copies are one node of the graph and share everything. Unusable vectors (null, other length, a null, NaN or infinite element,
+    The links are those that the neighbour graph met; README has the measured recall. Exact copies are one node of
+    the graph and share everything. Unusable vectors (null, other length, a null, NaN or infinite element,
     all zero) are left out; repeated ids stand as they are; an empty table gives no rows; extra columns are pruned.
     """
     reps, copies = folded_copies(unit_vectors(df, row_id, vec, dim))
@@ -405,16 +389,10 @@ def linked_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: float
     if not copies.limit(1).count():
         s = df.sparkSession
         return s.createDataFrame([], f"`{row_id}` long, rep long, cluster_id long"), s.createDataFrame([], "a long, b long, w double")
-    links = links_above(neighbour_graph(reps, dim), reps, dim, least)
-    named = settle(reps.select("rep").join(hash_to_min(links, "a", "b").withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
-    more = bridges(named, reps, dim, least)
-    if more is not None:
-        ends = more.join(named.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(named.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
-        merged = hash_to_min(ends.select("ca", "cb").distinct(), "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("whole"))
-        named = settle(named.join(merged, "component", "left").select("rep", F.coalesce("whole", "component").alias("component")))
-        links = settle(links.unionByName(more))
+    links = links_above(neighbour_graph(reps, dim, least=least), reps, dim, least)
+    named = hash_to_min(links, "a", "b").withColumnRenamed("node", "rep")
     # a component is named by its least node, and a node by its least copy
-    return copies.join(named, "rep").select(F.col("id").alias(row_id), "rep", F.col("component").alias("cluster_id")), links
+    return copies.join(named, "rep", "left").select(F.col("id").alias(row_id), "rep", F.coalesce("component", "rep").alias("cluster_id")), links
 
 
 def similarity_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: float = LINK) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.lookalikes import Tables, consistent, public_tables
+from vellum.runtime import shared
 
 WINDOW = 12  # consecutive words that make a leak
 LEAST = 0.5  # share of a full match from which an edited copy counts
@@ -172,11 +173,11 @@ class _Sought:
                 break
 
 
-def _found(shared, window: int):
+def _found(block, window: int):
     """(id, item, score, longest_run, is_leak) of the documents' leaks and edited copies."""
 
     def run(batches):
-        vocabulary, sought, known = shared.value
+        vocabulary, sought, known = block()
         number = vocabulary.get
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -212,8 +213,8 @@ def _block(docs: DataFrame, kind: str, rows: list, item_kind: str, window: int,
     vocabulary: dict[str, int] = {}
     items = [[vocabulary.setdefault(x, len(vocabulary) + 1) for x in w] for _, w in kept]
     # bounded by BLOCK_WORDS, whatever the corpus
-    shared = spark.sparkContext.broadcast((vocabulary, _Sought(items, window, edited), known))
-    scored = docs.mapInArrow(_found(shared, window), f"id {kind}, item int, score double, longest_run int, is_leak boolean")
+    block = shared(spark, (vocabulary, _Sought(items, window, edited), known))
+    scored = docs.mapInArrow(_found(block, window), f"id {kind}, item int, score double, longest_run int, is_leak boolean")
     names = spark.createDataFrame(pa.table({"item": pa.array(range(len(kept)), pa.int32()), "item_key": pa.array([str(k[0]) for k in kept], pa.string())})).select("item", F.col("item_key").cast(item_kind).alias("item_key"))
     return scored.join(F.broadcast(names), "item").groupBy("id", "item_key").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"), F.max("is_leak").alias("is_leak"))
 

@@ -1,8 +1,8 @@
 """Most similar vectors for every vector: vantage-point trees per shard, pruned by a relaxed triangle inequality.
 
-A routing tree, fitted on a bounded sample, gives every distinct vector one shard; each shard builds its own
-tree over all its rows. A query first searches its home shard, whose kth distance bounds its reach, and
-then only the shards that its ball of that reach, shrunk by ``factor``, still touches. Factor one is exact.
+A routing (see routing.py) gives every distinct vector one shard; each shard builds its own tree over all its rows. A
+query first searches its home shard, whose kth distance bounds its reach, and then only the shards that its
+ball of that reach, shrunk by ``factor``, still touches. Factor one is exact.
 """
 
 from __future__ import annotations
@@ -12,52 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.llm.routing import OVER, routed
 from vellum.llm.vectors import VantageTree, distance, folded_copies, from_binary, unit_vectors
-from vellum.runtime import fan_out, settle
+from vellum.runtime import settle
 
-SHARD_ROWS = 8192  # rows of a shard that the routing tree aims at
-SAMPLE_A_SHARD = 256
-MOST_SAMPLE = 1 << 16  # rows of the sample on which the routing tree is fitted, at most; every row is indexed
-QUERY_ROWS = 1 << 15  # queries that one task searches in a shard at most
+SHARD_ROWS = 1 << 15  # rows of a shard that the routing aims at: large, so that a ball touches few
+QUERY_ROWS = 1 << 14  # queries that one task searches in a shard at most
 FACTOR = 0.25  # measured: recall 1.0 of pairs with cosine >= 0.975, see README
 
 
-def routing_tree(reps: DataFrame, n: int, dim: int, seed: int = 7) -> VantageTree:
-    """Fitted on at most MOST_SAMPLE distinct vectors, drawn by hash."""
-    shards = max(1, -(-n // SHARD_ROWS))
-    want = min(MOST_SAMPLE, n, shards * SAMPLE_A_SHARD)
-    picked = reps.where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 20)) < int(min(1.0, 1.3 * want / max(1, n)) * (1 << 20)) + 1).limit(want)
-    x = from_binary(picked.select("vec").toArrow()["vec"], dim)
-    return VantageTree(x, max(1, len(x) // shards), seed).for_routing()
-
-
-def _homes(tree: VantageTree, dim: int):
-    def run(batches):
-        for b in batches:
-            yield pa.record_batch([*b.columns, pa.array(tree.home(from_binary(b.column("vec"), dim)), pa.int32())], names=[*b.schema.names, "shard"])
-
-    return run
-
-
-def _visits(tree: VantageTree, dim: int, factor: float, skip_home: bool):
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                q = from_binary(b.column("vec"), dim)
-                rows, leaves = tree.near_leaves(q, b.column("reach").to_numpy(), factor)
-                if skip_home:
-                    other = leaves != tree.home(q)[rows]
-                    rows, leaves = rows[other], leaves[other]
-                yield pa.record_batch([*b.take(pa.array(rows)).columns, pa.array(leaves, pa.int32())], names=[*b.schema.names, "shard"])
-
-    return run
-
-
 def _search(dim: int, k: int, factor: float, leaf_rows: int, seed: int):
     def run(t: pa.Table) -> pa.Table:
-        is_query = t["is_query"].to_numpy()
-        points, queries = t.filter(pa.array(~is_query)), t.filter(pa.array(is_query))
+        here, asks = t["here"].to_numpy(), t["asks"].to_numpy()
+        points, queries = t.filter(pa.array(here)), t.filter(pa.array(asks))
         out = {"qid": [], "nid": [], "cos": []}
         if len(points) and len(queries):
             order = np.argsort(points["id"].to_numpy())
@@ -75,19 +42,28 @@ def _search(dim: int, k: int, factor: float, leaf_rows: int, seed: int):
     return run
 
 
-def _in_shards(points: DataFrame, visits: DataFrame, dim: int, k: int, factor: float, leaf_rows: int = 128, seed: int = 11) -> DataFrame:
-    """points (id, vec, shard) against visits (id, vec, reach, shard): (qid, nid, cos).
+def _in_shards(points: DataFrame, visits: DataFrame | None, dim: int, k: int, factor: float, shard_rows: int, leaf_rows: int = 128, seed: int = 11) -> DataFrame:
+    """points (id, vec, shard, reach, null where the point doesn't ask) and visitors (id, vec, reach, shard): (qid, nid, cos).
 
-    A shard with many queries is searched by several tasks, each with a copy of the shard's bounded rows; a
-    shard with many rows (the routing sample's bound reached) is cut by hash, and its queries visit every cut.
+    A shard with many queries is searched by several tasks, each with a copy of the shard's bounded rows, a point
+    asking in one of them. A shard that routing could not divide is cut by hash, and its queries visit every cut.
     """
-    loads = visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("q_cuts"))
-    sizes = points.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (4 * SHARD_ROWS)).cast("int").alias("p_cuts"))
-    cuts = F.broadcast(settle(loads.join(sizes, "shard")))  # a row a shard: at most MOST_SAMPLE / SAMPLE_A_SHARD
-    p = points.join(cuts, "shard").withColumn("pc", F.pmod(F.xxhash64("id"), F.col("p_cuts")).cast("int")).withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("q_cuts") - 1)))
-    q = visits.join(cuts, "shard").withColumn("qc", F.pmod(F.xxhash64("id"), F.col("q_cuts")).cast("int")).withColumn("pc", F.explode(F.sequence(F.lit(0), F.col("p_cuts") - 1)))
-    both = p.select("shard", "pc", "qc", "id", "vec", F.lit(0.0).alias("reach"), F.lit(False).alias("is_query")).unionByName(q.select("shard", "pc", "qc", "id", "vec", "reach", F.lit(True).alias("is_query")))
-    return both.groupBy("shard", "pc", "qc").applyInArrow(_search(dim, k, factor, leaf_rows, seed), "qid long, nid long, cos double")
+    asking = points.where("reach is not null").select("shard")
+    asking = asking if visits is None else asking.unionByName(visits.select("shard"))
+    loads = asking.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("q_cuts"))
+    sizes = points.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (OVER * shard_rows)).cast("int").alias("p_cuts"))
+    cuts = settle(loads.join(sizes, "shard"))  # a row a shard
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda d: d.join(cuts, "shard").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("q_cuts")).cast("int"))
+    held = dealt(points).withColumn("home", F.pmod(F.xxhash64("id"), F.col("p_cuts")).cast("int")).withColumn("qc", upto("q_cuts"))
+    # a point of a shard that is cut asks in the other cuts as a visitor
+    whole = held.select("shard", F.col("home").alias("pc"), "qc", "id", "vec", F.coalesce("reach", F.lit(0.0)).alias("reach"), F.lit(True).alias("here"), (F.col("reach").isNotNull() & (F.col("qc") == F.col("own"))).alias("asks"))
+    others = held.where("p_cuts > 1 and reach is not null and qc = own").withColumn("pc", upto("p_cuts")).where("pc <> home")
+    whole = whole.unionByName(others.select("shard", "pc", "qc", "id", "vec", "reach", F.lit(False).alias("here"), F.lit(True).alias("asks")))
+    if visits is not None:
+        met = dealt(visits).withColumn("pc", upto("p_cuts"))
+        whole = whole.unionByName(met.select("shard", "pc", F.col("own").alias("qc"), "id", "vec", "reach", F.lit(False).alias("here"), F.lit(True).alias("asks")))
+    return whole.groupBy("shard", "pc", "qc").applyInArrow(_search(dim, k, factor, leaf_rows, seed), "qid long, nid long, cos double")
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -95,7 +71,7 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def most_similar(df: DataFrame, row_id: str, vec: str, dim: int, k: int, queries: str | None = None, least_cosine: float = -1.0, factor: float = FACTOR) -> DataFrame:
+def most_similar(df: DataFrame, row_id: str, vec: str, dim: int, k: int, queries: str | None = None, least_cosine: float = -1.0, factor: float = FACTOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(row_id, neighbour_id, cosine, rank): for every query row the k other rows with the greatest cosine.
 
     ``queries`` is a predicate on ``row_id`` that states the query set (all usable rows if None), searched against
@@ -111,25 +87,27 @@ def most_similar(df: DataFrame, row_id: str, vec: str, dim: int, k: int, queries
     schema = f"`{row_id}` long, neighbour_id long, cosine double, rank int"
     if not n:
         return spark.createDataFrame([], schema)
-    tree = routing_tree(reps, n, dim)
-    lean = lambda d: d.repartition(fan_out(spark))
-    points = settle(lean(reps).withColumnRenamed("rep", "id").mapInArrow(_homes(tree, dim), "id long, vec binary, shard int"))
+    points, routing = routed(reps.withColumnRenamed("rep", "id"), n, dim, shard_rows, 7)
     asked = rows if queries is None else rows.where(queries.replace(row_id, "id"))
     ask = points if queries is None else points.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
 
     furthest = distance(least_cosine) + 1e-6
+    reach = F.lit(furthest)
+    if queries is None:
+        asking = points.withColumn("reach", reach)
+    else:
+        asking = points.join(ask.select("id", F.lit(True).alias("_asks")), "id", "left").select("id", "vec", "shard", F.when(F.col("_asks"), reach).alias("reach"))
     if least_cosine > 0:
         # the bound on the distance is close enough to route by at once
-        visits = ask.select("id", "vec", F.lit(furthest).alias("reach")).mapInArrow(_visits(tree, dim, factor, False), "id long, vec binary, reach double, shard int")
-        found = _in_shards(points, visits, dim, k, factor)
+        visits = routing.visits(ask.select("id", "vec", reach.alias("reach"), F.col("shard").alias("home")), factor)
+        found = _in_shards(asking, visits, dim, k, factor, shard_rows)
     else:
-        at_home = ask.select("id", "vec", F.lit(furthest).alias("reach"), "shard")
-        near = settle(_in_shards(points, at_home, dim, k, factor))
+        near = settle(_in_shards(asking, None, dim, k, factor, shard_rows))
         kth = near.groupBy(F.col("qid").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("c"))
-        bound = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("c")))).otherwise(F.lit(furthest))
-        again = ask.select("id", "vec").join(kth, "id", "left").select("id", "vec", F.coalesce(bound, F.lit(furthest)).alias("reach"))
-        visits = again.mapInArrow(_visits(tree, dim, factor, True), "id long, vec binary, reach double, shard int")
-        found = near.unionByName(_in_shards(points, visits, dim, k, factor))
+        bound = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("c")))).otherwise(reach)
+        again = ask.join(kth, "id", "left").select("id", "vec", F.coalesce(bound, reach).alias("reach"), F.col("shard").alias("home"))
+        visits = routing.visits(again, factor)
+        found = near.unionByName(_in_shards(points.withColumn("reach", F.lit(None).cast("double")), visits, dim, k, factor, shard_rows))
     close = _best(found.where(F.col("cos") >= least_cosine), k).select("qid", "nid", "cos")
 
     # back from distinct vectors to rows: of the copies of a vector the k + 1 smallest ids can matter

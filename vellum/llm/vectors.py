@@ -108,6 +108,13 @@ class VantageTree:
         self.x, self.leaves = None, [None] * len(self.leaves)
         return self
 
+    @classmethod
+    def of_root(cls, root, n_leaves: int) -> VantageTree:
+        """The tree :meth:`for_routing` with the boundaries ``root``."""
+        tree = cls.__new__(cls)
+        tree.root, tree.x, tree.leaves = root, None, [None] * n_leaves
+        return tree
+
     @staticmethod
     def _boundary(d: np.ndarray) -> float:
         """The widest gap in distances within the middle half, so that boundaries fall between clusters."""
@@ -177,14 +184,13 @@ class VantageTree:
                 if not hit.any():
                     continue
                 a, c = a[hit], c[hit]
-                t = min(k, c.shape[1])
-                if t < c.shape[1]:
-                    # all ties of the kth value are kept by taking a few more
-                    t = min(c.shape[1], t + 8)
-                    top = np.argpartition(-c, t - 1, axis=1)[:, :t]
-                    c, names = np.take_along_axis(c, top, 1), ids[rows][top]
-                else:
-                    names = np.broadcast_to(ids[rows], c.shape)
+                names = np.broadcast_to(ids[rows], c.shape)
+                if c.shape[1] > k + 8:
+                    # those above the kth value and a few more; where that cuts ties of the kth value, all are kept
+                    top = np.argpartition(-c, k + 7, axis=1)[:, : k + 8]
+                    few = np.take_along_axis(c, top, 1)
+                    if (few.min(1) < np.partition(few, -k, axis=1)[:, -k]).all():
+                        c, names = few, ids[rows][top]
                 both = np.hstack([cos[a], c])
                 name = np.hstack([idx[a], names])
                 order = np.lexsort((name, -both), axis=1)[:, :k]
