@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import filled, stripped
+from vellum.runtime import settle
 
 KEY = ["dataset", "filename"]
 
@@ -63,8 +64,32 @@ def same_label_pairs(rows: DataFrame, label: str, row: str) -> DataFrame:
     return rows.select(label, F.col(row).alias("anchor"), F.lead(row).over(w).alias("positive")).where("positive is not null")
 
 
-def first_k(rows: DataFrame, label: str, row: str, k: int) -> DataFrame:
-    """The k first rows of each label."""
+def triplets(rows: DataFrame, label: str, row: str, a_row: int, seed: int) -> DataFrame:
+    """(anchor, k, positive, negative): ``a_row`` draws for every row: another row of its label and a row of another label, by hash.
+
+    All pairs of a label would be its square; here a label of any size costs its rows times ``a_row``. Rows are numbered by label
+    over range partitions, so that a label is a stretch of numbers and one draw never has to be repeated. A row
+    alone in its label has no positive, and where there is one label there is no negative: these are null. Null labels take no part.
+    """
+    from vellum.operators.skew import balanced_positions
+    from vellum.operators.training_math import draw
+
+    known = rows.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(row).alias("row"), F.lit(0).alias("_all"))
+    placed = settle(balanced_positions(known, "_all", ["label", "row"], None, "at", "n_all").drop("_all"))
+    extent = placed.groupBy("label").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("n"))
+    asked = placed.join(extent, "label").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(a_row - 1))))
+    pick = lambda what, n: F.pmod(draw(seed, F.lit(what), F.col("row"), F.col("k")), n)
+    near = F.when(F.col("n") > 1, F.col("start") + F.pmod(F.col("at") - F.col("start") + 1 + pick("positive", F.col("n") - 1), F.col("n")))
+    away = F.when(F.col("n_all") > F.col("n"), pick("negative", F.col("n_all") - F.col("n")))
+    drawn = asked.select(F.col("row").alias("anchor"), "k", near.alias("p"), (away + F.when(away >= F.col("start"), F.col("n")).otherwise(F.lit(0))).alias("g"))
+    names = lambda at, name: placed.select(F.col("at").alias(at), F.col("row").alias(name))
+    return drawn.join(names("p", "positive"), "p", "left").join(names("g", "negative"), "g", "left").select("anchor", "k", "positive", "negative")
+
+
+def first_k(rows: DataFrame, label: str, row: str, k: int, full: bool = False) -> DataFrame:
+    """The k first rows of each label; with ``full`` a label of fewer rows is an error."""
     from pyspark.sql import Window
 
+    if full and rows.groupBy(label).count().where(F.col("count") < k).limit(1).count():
+        raise ValueError(f"a label has fewer than {k} rows")
     return rows.withColumn("at", F.row_number().over(Window.partitionBy(label).orderBy(row))).where(F.col("at") <= k).drop("at")

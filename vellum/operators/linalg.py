@@ -84,15 +84,26 @@ def pca_scores(rows: DataFrame, vec: str, k: int, out: str = "scores") -> DataFr
     return _projected(rows.where(F.col(vec).isNotNull()), vec, mean, vectors[:, np.argsort(-values)[:k]], out)
 
 
-def whitened(rows: DataFrame, vec: str, out: str = "white") -> DataFrame:
-    """U * sqrt(n - 1) of the centred rows, axes with singular value above 1e-6 of the greatest kept, then unit length.
+def _unit(rows: DataFrame, out: str, unit: bool) -> DataFrame:
+    return rows.withColumn(out, l2_normalized(F.col(out))) if unit else rows
+
+
+def moments(rows: DataFrame, vec: str) -> DataFrame:
+    """(i, j, mean_i, cov): covariance of the elements, over n - 1."""
+    n, mean, gram = _moments(rows, vec)
+    cells = [(i, j, float(mean[i]), float(gram[i, j]) / max(n - 1, 1)) for i in range(len(mean)) for j in range(len(mean))]
+    return rows.sparkSession.createDataFrame(cells, "i int, j int, mean_i double, cov double")
+
+
+def whitened(rows: DataFrame, vec: str, out: str = "white", unit: bool = True) -> DataFrame:
+    """U * sqrt(n - 1) of the centred rows, axes with singular value above 1e-6 of the greatest kept, then unit length if ``unit``.
 
     A single row has no spread: its vector has no elements. Vectors wider than MOST_WIDTH (VLAD's) are whitened through
     the products of their rows, of which there may then be MOST_WIDTH; more of both is an error.
     """
     n, width = rows.where(F.col(vec).isNotNull()).agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
     if (width or 0) > MOST_WIDTH and n <= MOST_WIDTH:
-        return _whitened_wide(rows.where(F.col(vec).isNotNull()), vec, width, out)
+        return _unit(_whitened_wide(rows.where(F.col(vec).isNotNull()), vec, width, out), out, unit)
     n, mean, gram = _moments(rows, vec)
     values, vectors = np.linalg.eigh(gram)
     s = np.sqrt(np.maximum(values, 0))
@@ -101,7 +112,7 @@ def whitened(rows: DataFrame, vec: str, out: str = "white") -> DataFrame:
     if not kept.any():
         return known.withColumn(out, F.array().cast("array<double>"))
     axes = vectors[:, kept] / s[kept] * np.sqrt(max(n - 1, 1))
-    return _projected(known, vec, mean, axes, out).withColumn(out, l2_normalized(F.col(out)))
+    return _unit(_projected(known, vec, mean, axes, out), out, unit)
 
 
 def _whitened_wide(known: DataFrame, vec: str, width: int, out: str) -> DataFrame:
@@ -111,7 +122,7 @@ def _whitened_wide(known: DataFrame, vec: str, width: int, out: str) -> DataFram
     kept = s > 1e-6 * s.max() if s.max() > 0 else np.zeros(len(s), bool)
     u = vectors[:, kept] * np.sqrt(max(len(g) - 1, 1))
     made = known.sparkSession.createDataFrame(pa.table({"_row": pa.array(names, pa.int64()), out: pa.array(u.tolist(), pa.list_(pa.float64()))}))
-    return numbered.join(made, "_row").drop("_row").withColumn(out, l2_normalized(F.col(out)))
+    return numbered.join(made, "_row").drop("_row")
 
 
 def covariance_pca(rows: DataFrame, vec: str, dim: int, power: float = 0.5, out: str = "scores") -> DataFrame:

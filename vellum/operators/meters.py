@@ -32,6 +32,16 @@ def at_cadence(series: DataFrame, step: str, every: int) -> DataFrame:
     return series.where(F.col(step) % every == 0)
 
 
+def at_epoch_ends(epoch: Column, every: int) -> Column:
+    """True for the last of every ``every`` epochs, counted from 0."""
+    return (epoch + 1) % every == 0
+
+
+def at_later_epochs(epoch: Column, every: int) -> Column:
+    """True for every ``every``-th epoch but the first."""
+    return (epoch != 0) & (epoch % every == 0)
+
+
 def full_batches(rows: DataFrame, name: str, order: str, batch: int) -> DataFrame:
     """Rows of each name numbered from 1 by ``order``, without the rest that fills no batch; names of any size are counted in pieces."""
     numbered = balanced_positions(rows, name, [order], None, "at", "_n").withColumn("at", F.col("at") + 1)

@@ -37,7 +37,15 @@ def patch_rows(tokens: DataFrame, page: str, window: str, pos: str, vec: str, n_
     from vellum.operators.skew import balanced_positions
 
     kept = tokens.where(F.col(pos) >= n_class).select(F.col(page).alias("page"), F.col(window).alias("window"), F.col(pos).alias("pos"), F.col(vec).alias("vec"), F.lit(0).alias("one"))
-    return balanced_positions(kept, "one", ["page", "window", "pos"], None, "row", "n_rows").select("row", "page", "vec")
+    return balanced_positions(kept, "one", ["page", "window", "pos"], None, "row", None).select("row", "page", "vec")
+
+
+def pooled(tokens: DataFrame, how: str, page: str, window: str, pos: str, vec: str, n_class: int) -> DataFrame:
+    """One row a page (or, for "patches", a patch token) by the named strategy: mean, cls or patches."""
+    ways = {"mean": pooled_mean, "cls": pooled_class, "patches": patch_rows}
+    if how not in ways:
+        raise ValueError(f"no pooling {how!r}; known: {sorted(ways)}")
+    return ways[how](tokens, page, window, pos, vec, n_class)
 
 
 def taken_tokens(rows: DataFrame, tokens: str, keep: list[int]) -> DataFrame:
@@ -47,6 +55,6 @@ def taken_tokens(rows: DataFrame, tokens: str, keep: list[int]) -> DataFrame:
 
 def projector_vectors(patches: DataFrame, page: str, window: str, vec: str, seed: int, most: int = 4) -> DataFrame:
     """(page, vec): mean of all patch tokens of at most ``most`` windows a page, drawn in the seeded order, at unit length."""
-    windows = patches.select(page, window).distinct().withColumn("_key", F.struct(page, window))
+    windows = patches.select(page, window).distinct().withColumn("_key", F.concat_ws("|", page, window))
     drawn = ranked_first(seeded_order(windows, "_key", seed), page, [F.col("turn"), F.col(window)], most).select(page, window)
     return mean_vectors(patches.join(drawn, [page, window]), [page], vec).select(page, l2_normalized(F.col("vec")).alias("vec"))

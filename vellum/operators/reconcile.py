@@ -51,6 +51,43 @@ def architectures(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in ARCHITECTURES.items()], "arch string, embed_dim int, depth int, heads int")
 
 
+def named_architecture(rows: DataFrame, dim: str, depth: str) -> DataFrame:
+    """``rows`` with arch and heads by width and depth; null where no architecture has both."""
+    known = architectures(rows.sparkSession).select(F.col("embed_dim").alias("_d"), F.col("depth").alias("_n"), "arch", "heads")
+    return rows.join(F.broadcast(known), (F.col(dim) == F.col("_d")) & (F.col(depth) == F.col("_n")), "left").drop("_d", "_n")
+
+
+def architecture_of(dim: int, depth: int) -> str:
+    """Name of the architecture; an unknown pair is an error."""
+    for name, (d, n, _) in ARCHITECTURES.items():
+        if (d, n) == (dim, depth):
+            return name
+    raise ValueError(f"no architecture of width {dim} and depth {depth}; known: {ARCHITECTURES}")
+
+
+def normalized_checkpoint(saved: dict, config: dict | None = None) -> dict:
+    """{backbone, config, global_step, foreign} of a checkpoint given as a dictionary of names and arrays (or of shapes).
+
+    A checkpoint of our own has ``student`` and ``config``; a foreign one has ``teacher`` or a bare state, and its width
+    and depth are read from its names and shapes unless ``config`` or its ``args`` tell the architecture.
+    """
+    state = saved.get("teacher") or saved.get("student") or saved.get("state_dict") or saved
+    inner = {k.removeprefix("module."): v for k, v in state.items()}
+    bare = {k.removeprefix("backbone."): v for k, v in inner.items() if not k.startswith(("head.", "fc."))}
+    told = config or saved.get("config")
+    if told is None and isinstance(saved.get("args"), dict):
+        told = {k: saved["args"][k] for k in ("arch", "patch_size") if k in saved["args"]}
+    if told is None:
+        shape = lambda v: tuple(getattr(v, "shape", v))
+        blocks = [int(k.split(".")[1]) for k in bare if k.startswith("blocks.")]
+        if "cls_token" not in bare or not blocks:
+            raise ValueError("the checkpoint's architecture can't be told from its names")
+        told = {"arch": architecture_of(shape(bare["cls_token"])[-1], max(blocks) + 1)}
+        if "patch_embed.proj.weight" in bare:
+            told["patch_size"] = shape(bare["patch_embed.proj.weight"])[-1]
+    return {"backbone": bare, "config": told, "global_step": saved.get("global_step", saved.get("epoch", 0)), "foreign": "global_step" not in saved}
+
+
 def adopted(target: DataFrame, source: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, changed): the source's value where it has one, else the target's."""
     t, s = target.select(key, F.col(value).alias("_t")), source.select(key, F.col(value).alias("_s"))

@@ -22,7 +22,8 @@ DIGITS = 6  # similarities are rounded before they are ordered; equal ones by id
 
 
 def _matrix(col) -> np.ndarray:
-    x = np.array(col.to_pylist(), np.float64)
+    held = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    x = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
@@ -89,6 +90,30 @@ def relevant_ranks(rows: DataFrame, row: str, vec: str, label: str, junk: Column
     return pairs.join(ranks, ["qid", "gid"]).select("qid", "gid", "sim", "rank", F.count(F.lit(1)).over(Window.partitionBy("qid")).alias("n_relevant"))
 
 
+def top_k(rows: DataFrame, row: str, vec: str, k: int) -> DataFrame:
+    """(qid, gid, rank, sim): the k other rows of greatest cosine (rounded to 6 digits, equal ones by id) of every row; exact, by blocks."""
+    lean = settle(rows.where(F.col(vec).isNotNull()).select(F.col(row).cast("long").alias("id"), doubles(vec).alias("vec")))
+    n = max(1, -(-lean.count() // BLOCK))
+
+    def near(t: pa.Table) -> pa.Table:
+        q, g = t.filter(t["is_query"]), t.filter(pa.array(~t["is_query"].to_numpy()))
+        if not len(q) or not len(g):
+            return pa.table({"qid": pa.array([], pa.int64()), "gid": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        g = g.sort_by("id")
+        qi, gi = q["id"].to_numpy(), g["id"].to_numpy()
+        sim = np.round(_matrix(q["vec"]) @ _matrix(g["vec"]).T, DIGITS)
+        sim[qi[:, None] == gi[None]] = -9
+        # a stable sort keeps equal similarities by id
+        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(sim, top, 1)
+        a, b = np.nonzero(value > -9)
+        return pa.table({"qid": pa.array(qi[a]), "gid": pa.array(gi[top[a, b]]), "sim": pa.array(value[a, b])})
+
+    found = _blocks(lean, lean, n).groupBy("qb", "gb").applyInArrow(near, "qid long, gid long, sim double")
+    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "gid")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "gid", "rank", "sim")
+
+
 def average_precision(ranks: DataFrame) -> DataFrame:
     """(qid, n_relevant, ap): trapezoid AP; the jth relevant row at rank r adds ((j / r, 1 at r = 0) + (j + 1) / (r + 1)) / 2n."""
     j = F.row_number().over(Window.partitionBy("qid").orderBy("rank")) - 1

@@ -18,19 +18,40 @@ def cosine_schedule(spark: SparkSession, base: float, final: float, steps: int,
     return spark.range(steps).select(F.col("id").alias("step")).select("step", F.when(F.col("step") < warmup, rise).otherwise(fall).alias("value"))
 
 
-def temperature_schedule(spark: SparkSession, warm: float, final: float, warm_epochs: int, epochs: int) -> DataFrame:
-    """(epoch, value): linear from ``warm`` to ``final`` (included) over the warm epochs, then constant."""
-    rise = warm + (final - warm) * F.col("epoch") / max(1, warm_epochs - 1)
-    return spark.range(epochs).select(F.col("id").alias("epoch")).select("epoch", F.when(F.col("epoch") < warm_epochs, rise).otherwise(F.lit(final)).alias("value"))
+def draw(*parts: Column | int) -> Column:
+    """A whole number below 2 ** 48 from the parts' texts: the same in every engine that has md5."""
+    text = F.concat_ws("|", *[x if isinstance(x, Column) else F.lit(str(x)) for x in parts])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+
+
+def temperature_schedule(spark: SparkSession, warm: float, final: float, warm_epochs: int, epochs: int, start: int = 0) -> DataFrame:
+    """(epoch, value): ``warm`` until epoch ``start``, linear from there to ``final`` (included) over the warm epochs, then constant."""
+    rise = warm + (final - warm) * (F.col("epoch") - start) / max(1, warm_epochs - 1)
+    value = F.when(F.col("epoch") < start, F.lit(warm)).when(F.col("epoch") < start + warm_epochs, rise).otherwise(F.lit(final))
+    return spark.range(epochs).select(F.col("id").alias("epoch")).select("epoch", value.alias("value"))
 
 
 def scaled_rate(rate: float, batch: int, world: int = 1) -> float:
     return rate * batch * world / 256
 
 
-def masking_ratio(epoch: Column, start: int, ratio: float) -> Column:
-    """0 before the start epoch, then the ratio (its spread taken as zero)."""
-    return F.when(epoch < start, F.lit(0.0)).otherwise(F.lit(ratio))
+def masking_ratio(epoch: Column, start: int, ratios: list[float], spreads: list[float], *key: Column) -> Column:
+    """0 before the start epoch; then one of the ratios, moved by up to its spread, both drawn by hash of the key."""
+    if any(v > r for r, v in zip(ratios, spreads, strict=True)):
+        raise ValueError("a spread exceeds its ratio")
+    u = draw(F.lit("spread"), *key) / float(1 << 48)
+    moved = F.array(*[F.lit(float(r - v)) + u * float(2 * v) for r, v in zip(ratios, spreads, strict=True)])
+    return F.when(epoch < start, F.lit(0.0)).otherwise(F.element_at(moved, (F.pmod(draw(F.lit("choice"), *key), F.lit(len(ratios))) + 1).cast("int")))
+
+
+def token_count(model_size: int, patch: int) -> int:
+    """Patch tokens of a view."""
+    return (model_size // patch) ** 2
+
+
+def frozen(name: Column, epoch: Column, epochs: int) -> Column:
+    """True for parameters of the last layer in the first ``epochs`` epochs, whose gradients are dropped."""
+    return (epoch < epochs) & name.contains("last_layer")
 
 
 def exponential_average(series: DataFrame, name: str, step: str, value: str, momentum: float) -> DataFrame:
@@ -87,20 +108,20 @@ def top_mask(attention: Column, ratio: float, lowest: bool = False) -> Column:
 
 def seeded_mask(size: int, ratio: float, *key: Column) -> Column:
     """round(size * ratio) positions drawn by hash of the key."""
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(F.xxhash64(*key, i).alias("h"), i.alias("i"))))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(draw(*key, i).alias("h"), i.alias("i"))))
     return let(_first(order, F.lit(round(size * ratio))), lambda c: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(c, i)))
 
 
 def hinted_mask(attention: Column, ratio: float, show_most: float, *key: Column) -> Column:
     """The top mask with int(T * show_most * ratio) of its int(T * show_most) most attended positions revealed, drawn by hash."""
-    ranked = F.array_sort(F.transform(top_positions(attention, show_most), lambda i: F.struct(F.xxhash64(*key, i).alias("h"), i.alias("i"))))
+    ranked = F.array_sort(F.transform(top_positions(attention, show_most), lambda i: F.struct(draw(*key, i).alias("h"), i.alias("i"))))
     shown = _first(ranked, F.floor(F.size(attention) * show_most * ratio))
     return let(F.array_except(top_positions(attention, ratio), shown), lambda c: F.transform(attention, lambda x, i: F.array_contains(c, i)))
 
 
 def dropped_masks(mask: Column, probability: float, *key: Column) -> Column:
     """The mask, all false in rows whose uniform draw (by hash) exceeds the probability."""
-    u = F.pmod(F.xxhash64(*key), F.lit(1 << 20)) / float(1 << 20)
+    u = draw(*key) / float(1 << 48)
     return F.when(u > probability, F.transform(mask, lambda b: F.lit(False))).otherwise(mask)
 
 
@@ -111,8 +132,16 @@ def view_pairs(spark: SparkSession, n_global: int, n_views: int) -> DataFrame:
 
 
 def seeded_order(rows: DataFrame, key: str, seed: int, epoch: int = 0) -> DataFrame:
-    """A column ``turn`` by which an epoch's rows are shuffled: a hash of key and seed * 100003 + epoch."""
-    return rows.withColumn("turn", F.xxhash64(F.col(key), F.lit(seed * 100003 + epoch)))
+    """A column ``turn`` by which an epoch's rows are shuffled: a draw by key and seed * 100003 + epoch."""
+    return rows.withColumn("turn", draw(seed * 100003 + epoch, F.col(key)))
+
+
+def shuffled(rows: DataFrame, key: str, seed: int, epoch: int = 0) -> DataFrame:
+    """The rows with their ``position`` from 0 in the epoch's seeded order; numbered by range partitions, not in one task."""
+    from vellum.operators.skew import balanced_positions
+
+    ordered = seeded_order(rows, key, seed, epoch).withColumn("_all", F.lit(0))
+    return balanced_positions(ordered, "_all", ["turn", key], None, "position", None).drop("_all", "turn")
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -120,5 +149,15 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return seeded_order(rows, key, seed).orderBy("turn", key).limit(n).drop("turn")
 
 
+def drawn_again(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n draws with replacement: the rows with ``draw_id`` 0 .. n - 1; no draws from an empty table."""
+    from vellum.operators.skew import balanced_positions
+
+    placed = balanced_positions(rows.withColumn("_all", F.lit(0)), "_all", [key], None, "_at", "_n").drop("_all")
+    total = placed.agg(F.max("_n").alias("_total"))
+    draws = rows.sparkSession.range(n).withColumnRenamed("id", "draw_id").join(F.broadcast(total), F.lit(True))
+    return draws.withColumn("_at", F.pmod(draw(seed, F.col("draw_id")), F.col("_total"))).drop("_total").join(placed.drop("_n"), "_at").drop("_at")
+
+
 def ranked_first(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.functions import vectors as V
 from vellum.functions.tables import table
-from vellum.operators import codebook, labels, lineage, linalg, meters, pooling, reconcile, report, retrieval, training_math, windows, zones
+from vellum.operators import codebook, labels, lineage, linalg, meters, pooling, presets, reconcile, report, retrieval, training_math, windows, zones
+from vellum.operators.skew import balanced_positions
 from vellum.plans.problems import MODELS, trim
 from vellum.runtime import settle
 from vellum.sources import folders, matrices, plugins
 
 # In SQL "round(...) + 0" makes a negative zero plain, which Spark's rounding never gives.
 TIE = 1e-9  # moves means of short decimals off the boundary of rounding, on both sides alike
+_DRAW = "CAST('0x' || substr(md5({0}), 1, 12) AS BIGINT)"  # training_math.draw of a text whose parts stand between bars
 _QUERIES: dict = {}
 _SQL: dict = {}
 
@@ -117,11 +119,32 @@ def first_k_per_class(s, d):
     return labels.first_k(_embeddings(s, d).select("label", "vec_id"), "label", "vec_id", 5)
 
 
+_HANDS = "p AS (SELECT label, vec_id, row_number() OVER (ORDER BY label, vec_id) - 1 AS place, count(*) OVER () AS n_all, count(*) OVER (PARTITION BY label) AS n FROM embeddings), h AS (SELECT *, min(place) OVER (PARTITION BY label) AS start FROM p)"
+
+
+@query(f"""WITH {_HANDS}, k AS (SELECT *, unnest(range(3)) AS k FROM h),
+d AS (SELECT vec_id AS anchor, CAST(k AS INT) AS k, start + (place - start + 1 + {_DRAW.format("'11|positive|' || vec_id || '|' || k")} % (n - 1)) % n AS p, {_DRAW.format("'11|negative|' || vec_id || '|' || k")} % (n_all - n) AS g, start, n FROM k)
+SELECT anchor, k, a.vec_id AS positive, b.vec_id AS negative FROM d JOIN h a ON a.place = d.p JOIN h b ON b.place = d.g + CASE WHEN d.g >= d.start THEN d.n ELSE 0 END""")
+def hand_triplets(s, d):
+    return labels.triplets(_embeddings(s, d), "label", "vec_id", 3, 11)
+
+
 @query("SELECT * FROM (SELECT label, vec_id AS anchor, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS positive FROM embeddings) WHERE positive IS NOT NULL")
 def same_hand_pairs(s, d):
     return labels.same_label_pairs(_embeddings(s, d), "label", "vec_id")
 
 
+@query(f"WITH {_IMAGES} SELECT dataset, filename FROM imgs ORDER BY filename, dataset LIMIT 8")
+def first_images(s, d):
+    return _images(s, d).select("dataset", "filename").distinct().orderBy("filename", "dataset").limit(8)
+
+
+@query(f"WITH {_IMAGES} SELECT dataset, filename, row_number() OVER (ORDER BY dataset, filename) - 1 AS index, 0 AS target FROM imgs")
+def indexed_images(s, d):
+    listed = _images(s, d).select("dataset", "filename").distinct().withColumn("one", F.lit(0))
+    return balanced_positions(listed, "one", ["dataset", "filename"], None, "index", None).select("dataset", "filename", "index", F.lit(0).alias("target"))
+
+
 # ---- zones
 _DET = """det AS (SELECT zone_id, dataset, filename, pos, d[1] AS label, try_cast(d[2] AS DOUBLE) AS score, CAST(trunc(try_cast(d[3] AS DOUBLE)) AS INT) AS x0, CAST(trunc(try_cast(d[4] AS DOUBLE)) AS INT) AS y0,
   CAST(trunc(try_cast(d[5] AS DOUBLE)) AS INT) AS x1, CAST(trunc(try_cast(d[6] AS DOUBLE)) AS INT) AS y1
@@ -159,11 +182,16 @@ def zone_fallbacks(s, d):
     return _main(s, d).join(names, "zone_id").groupBy("dataset").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if("fell_back").alias("n_fell_back"))
 
 
-@query("SELECT DISTINCT ON (dataset, filename) dataset, filename, bbox, fell_back, len(detections) AS n_detections FROM (SELECT * FROM zones ORDER BY zone_id)")
+@query("SELECT DISTINCT ON (dataset, filename) dataset, filename, bbox, coalesce(page_size, [0, 0]) AS size, fell_back, detections FROM (SELECT * FROM zones ORDER BY zone_id)")
 def zone_json_roundtrip(s, d):
     one = table(s, d, "zones").groupBy("dataset", "filename").agg(F.min_by(F.struct("bbox", "page_size", "fell_back", "detections"), "zone_id").alias("z")).select("dataset", "filename", "z.*")
     again = folders.zone_entries(settle(folders.zone_documents(one)))
-    return again.select("dataset", "filename", "bbox", "fell_back", F.size("detections").cast("long").alias("n_detections"))
+    return again.select("dataset", "filename", "bbox", "size", "fell_back", "detections")
+
+
+@query(f"WITH {_DET} SELECT zone_id, pos, round_even(score / 7, 3) AS score FROM det")
+def rounded_scores(s, d):
+    return _detections(s, d).select("zone_id", F.col("pos").cast("long").alias("pos"), F.bround(F.col("score") / 7, 3).alias("score"))
 
 
 @query(f"WITH {_DET} SELECT zone_id, pos, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY score DESC NULLS LAST, pos) AS rank FROM det) WHERE rank <= 8")
@@ -181,10 +209,10 @@ def zone_rebuild(s, d):
 _LINES = "l_orderkey AS page, l_partkey % 1500 AS x0, l_suppkey % 900 AS y0, l_partkey % 1500 + 40 + l_linenumber * 10 AS x1, l_suppkey % 900 + 25 + l_linenumber * 5 AS y1"
 
 
-@query(f"SELECT page, count(*) AS n FROM (SELECT {_LINES}, (x1 - x0) * (y1 - y0) AS area FROM lineitem) WHERE area >= 0.001::DOUBLE * 1500 * 900 GROUP BY 1")
+@query(f"SELECT page, count(*) AS n FROM (SELECT {_LINES}, (x1 - x0) * (y1 - y0) AS area FROM lineitem) WHERE area >= 0.002::DOUBLE * 1500 * 900 GROUP BY 1")
 def min_area_filter(s, d):
     boxes = table(s, d, "lineitem").selectExpr("l_orderkey AS page", "l_partkey % 1500 AS x0", "l_suppkey % 900 AS y0", "l_linenumber AS l").withColumns({"x1": F.col("x0") + 40 + F.col("l") * 10, "y1": F.col("y0") + 25 + F.col("l") * 5})
-    return zones.large_enough(boxes, F.lit(1500), F.lit(900), 0.001).groupBy("page").agg(F.count(F.lit(1)).alias("n"))
+    return zones.large_enough(boxes, F.lit(1500), F.lit(900), 0.002).groupBy("page").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH b AS (SELECT l_orderkey, l_linenumber, {_LINES} FROM lineitem) SELECT page, CAST(sum(x0 - 3) AS BIGINT) AS sx0, CAST(sum(y0 - 2) AS BIGINT) AS sy0, CAST(sum(x1 + 4) AS BIGINT) AS sx1, CAST(sum(y1 + 5) AS BIGINT) AS sy1 FROM b GROUP BY 1")
@@ -230,14 +258,53 @@ def window_counts(s, d):
     return _zoned(s, d).groupBy("dataset").agg(F.count_distinct("filename").alias("n_images"), F.count(F.lit(1)).alias("n_windows"))
 
 
-@query(f"WITH {_WIN} SELECT dataset, count(*) AS n FROM (SELECT dataset, unnest(range(0, w - 512, 256)) AS x, h FROM page WHERE w > 512 AND h > 512) CROSS JOIN LATERAL unnest(range(0, h - 512, 256)) GROUP BY 1")
+@query(f"WITH {_WIN} SELECT dataset, filename, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT dataset, filename, x, unnest(range(0, h - 512, 256)) AS y FROM (SELECT dataset, filename, unnest(range(0, w - 512, 256)) AS x, h FROM page WHERE w > 512 AND h > 512))")
 def window_grid_legacy_a(s, d):
-    return windows.legacy_grid_a(_pages(s, d), 512, 0.5).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    return windows.legacy_grid_a(_pages(s, d), 512, 0.5).select("dataset", "filename", "x", "y")
 
 
-@query(f"WITH {_WIN} SELECT dataset, CAST(sum(((w - 256) // 32 + 1) * ((h - 256) // 32 + 1)) AS BIGINT) AS n FROM page WHERE w >= 256 AND h >= 256 GROUP BY 1")
+@query(f"""WITH {_WIN}, g AS (SELECT dataset, (w - 256) // 32 + 1 AS a, (h - 256) // 32 + 1 AS b FROM page WHERE w >= 256 AND h >= 256)
+SELECT dataset, CAST(sum(a * b) AS BIGINT) AS n, CAST(sum(b * 32 * (a * (a - 1) // 2)) AS BIGINT) AS sum_x, CAST(sum(a * 32 * (b * (b - 1) // 2)) AS BIGINT) AS sum_y FROM g GROUP BY 1""")
 def window_grid_legacy_b(s, d):
-    return windows.legacy_grid_b(_pages(s, d)).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    # the dense grid has thousands of windows a page; their sums stand for them
+    return windows.legacy_grid_b(_pages(s, d)).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+@query(f"WITH {_WIN}, l AS (SELECT dataset, filename, {_AX.format('0', 'w')} AS xs, {_AX.format('0', 'h')} AS ys FROM page) SELECT dataset, filename, CAST(len(xs) * len(ys) AS INT) AS n_windows, flatten(list_transform(ys, lambda y: list_transform(xs, lambda x: [CAST(x AS INT), CAST(y AS INT)]))) AS windows FROM l")
+def page_index(s, d):
+    return windows.page_index(_pages(s, d), ["dataset", "filename"])
+
+
+# a vector of 64 stands for a page of 8 x 8 pixels
+_INK = "ink AS (SELECT vec_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, len(list_filter(range(16), lambda i: embedding[(y + i // 4) * 8 + x + i % 4 + 1] < 0)) / 16 AS ink FROM (SELECT *, unnest([0, 2, 4]) AS x FROM (SELECT *, unnest([0, 2, 4]) AS y FROM embeddings)))"
+
+
+def _inked(s, d):
+    pages = _embeddings(s, d).select("vec_id", F.col("embedding").alias("pixels"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    return pages, windows.sampled_windows(pages, "pixels", 4, 0.5, 0.0, 0.6)
+
+
+@query(f"WITH {_INK} SELECT vec_id, x, y, ink FROM ink WHERE ink >= 0.6")
+def window_sampling(s, d):
+    return _inked(s, d)[1].select("vec_id", "x", "y", "ink")
+
+
+@query(f"""WITH {_INK}, l AS (SELECT vec_id, list([x, y] ORDER BY y, x) AS w FROM ink WHERE ink >= 0.6 GROUP BY 1), n AS (SELECT vec_id, w, unnest(range(5)) AS draw_id FROM embeddings LEFT JOIN l USING (vec_id)),
+p AS (SELECT vec_id, CAST(draw_id AS INT) AS draw_id, w[{_DRAW.format("'5|' || vec_id || '|' || draw_id")} % len(w) + 1] AS p, CAST(coalesce(len(w), 0) AS INT) AS n_windows FROM n) SELECT vec_id, draw_id, p[1] AS x, p[2] AS y, n_windows FROM p""")
+def random_windows(s, d):
+    pages, found = _inked(s, d)
+    return windows.random_windows(pages, ["vec_id"], found, 5, 5)
+
+
+@query("SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: floor(x * 8) <> 0)) / len(embedding) >= 0.55")
+def not_blank(s, d):
+    rows = _embeddings(s, d).select("vec_id", F.transform("embedding", lambda x: F.floor(x * F.lit(8).cast("float"))).alias("px"))
+    return windows.not_blank(rows, "px", 0.55).select("vec_id")
+
+
+@query("SELECT vec_id, list_transform(list_filter(range(16), lambda t: list_sum(list_transform([0, 1, 8, 9], lambda o: CAST(embedding[(t // 4) * 16 + (t % 4) * 2 + o + 1] AS DOUBLE))) / 4 < 0.02), lambda t: CAST(t AS INT)) AS tokens FROM embeddings")
+def foreground_tokens(s, d):
+    return _embeddings(s, d).select("vec_id", windows.foreground_tokens(F.col("embedding"), 8, 8, 2, 0.02).alias("tokens"))
 
 
 @query(f"WITH {_ZONED} SELECT dataset, CAST(2 * sum(len({_AX.format('ax', 'bx')}) * len({_AX.format('ay', 'by_')})) AS BIGINT) AS n_global, CAST(4 * sum(len({_AX.format('ax', 'bx')}) * len({_AX.format('ay', 'by_')})) AS BIGINT) AS n_local FROM p GROUP BY 1")
@@ -275,9 +342,9 @@ def pool_cls(s, d):
     return pooling.pooled_class(_tokens(s, d), "page", "win", "pos", "v", 2).withColumn("vec", V.rounded(F.col("vec")))
 
 
-@query(f"WITH {_TOKENS} SELECT row_number() OVER (ORDER BY page, win, pos) - 1 AS row, page, round(v[1], 6) AS first FROM tokens WHERE pos >= 1")
+@query(f"WITH {_TOKENS} SELECT row_number() OVER (ORDER BY page, win, pos) - 1 AS row, page, v AS vec FROM tokens WHERE pos >= 1")
 def pool_patches(s, d):
-    return pooling.patch_rows(_tokens(s, d), "page", "win", "pos", "v", 1).select("row", "page", F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
+    return pooling.patch_rows(_tokens(s, d), "page", "win", "pos", "v", 1).select("row", "page", V.doubles("vec").alias("vec"))
 
 
 @query("SELECT vec_id, list_transform([1, 4, 9], lambda i: embedding[i]) AS kept FROM embeddings")
@@ -325,36 +392,56 @@ def kmeans_codebook(s, d):
     return codebook.fitted_codebook(_embeddings(s, d), "vec_id", "embedding", 8)
 
 
-@query()
+@query("SELECT vec_id // 10 AS page, 512 AS width, 1.0::DOUBLE AS norm FROM embeddings GROUP BY 1")
 def vlad_kmeans(s, d):
-    return codebook.vlad(_tokens(s, d), codebook.fitted_codebook(_embeddings(s, d), "vec_id", "embedding", 8), "page", "v")
+    # centres hang on the fit, but whatever they are a page's vector has their width and unit length
+    made = codebook.vlad(_tokens(s, d), codebook.fitted_codebook(_embeddings(s, d), "vec_id", "embedding", 8), "page", "v")
+    return made.select("page", F.size("vec").alias("width"), F.round(V.norm(F.col("vec")), 9).alias("norm"))
 
 
-@query("SELECT vec_id, embedding AS vec FROM embeddings")
+@query(f"WITH {_BOOK}, u AS (SELECT 0 AS rank, vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings UNION ALL SELECT 1, cluster_id, list_transform(center, lambda x: round(x, 6) + 0) FROM book) SELECT row_number() OVER (ORDER BY rank, id) - 1 AS row, rank, id, vec FROM u")
 def descriptor_union(s, d):
-    rows = _embeddings(s, d).select("vec_id", F.col("embedding").alias("vec"))
-    return rows.where("vec_id % 2 = 0").unionByName(rows.where("vec_id % 2 = 1"))
+    # the descriptors of two sources, one behind the other, under one numbering
+    first = _embeddings(s, d).select(F.lit(0).alias("rank"), F.col("vec_id").alias("id"), V.doubles("embedding").alias("vec"))
+    second = _book(s, d).select(F.lit(1).alias("rank"), F.col("cluster_id").cast("long").alias("id"), V.rounded(F.col("center")).alias("vec"))
+    return balanced_positions(first.unionByName(second).withColumn("one", F.lit(0)), "one", ["rank", "id"], None, "row", None).select("row", "rank", "id", "vec")
 
 
 # ---- projections
-@query()
+# Axes have no defined sign, so the SQL states what holds for any: lengths from the mean, and the covariance of the result.
+_LENGTHS = "m AS (SELECT avg(x) AS m, i FROM (SELECT CAST(unnest({0}) AS DOUBLE) AS x, generate_subscripts({0}, 1) AS i FROM embeddings) GROUP BY i), c AS (SELECT list(m ORDER BY i) AS c FROM m), l AS (SELECT vec_id, list_sum(list_transform(list_zip(CAST({0} AS DOUBLE[]), c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS l FROM embeddings, c)"
+
+
+@query(f"WITH {_LENGTHS.format('embedding')} SELECT vec_id, 64 AS n_axes, round(l, 6) AS squares FROM l")
 def pca_scores(s, d):
-    return linalg.pca_scores(_embeddings(s, d), "embedding", 8).select("vec_id", "scores")
+    made = linalg.pca_scores(_embeddings(s, d), "embedding", 64)
+    return made.select("vec_id", F.size("scores").alias("n_axes"), F.round(V.dot(F.col("scores"), F.col("scores")), 6).alias("squares"))
 
 
-@query()
+@query("SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, 0.0::DOUBLE AS mean_i, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END AS cov FROM range(64) a(i), range(64) b(j)")
 def pca_whiten(s, d):
-    return linalg.whitened(_embeddings(s, d), "embedding").select("vec_id", "white")
+    made = linalg.moments(linalg.whitened(_embeddings(s, d), "embedding", unit=False), "white")
+    return made.select("i", "j", F.round("mean_i", 6).alias("mean_i"), F.round("cov", 6).alias("cov"))
 
 
-@query()
+@query("SELECT vec_id, 64 AS width, 1.0::DOUBLE AS norm FROM embeddings")
+def whiten_unit(s, d):
+    return linalg.whitened(_embeddings(s, d), "embedding").select("vec_id", F.size("white").alias("width"), F.round(V.norm(F.col("white")), 9).alias("norm"))
+
+
+@query("SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END AS cov FROM range(8) a(i), range(8) b(j)")
 def pca_legacy(s, d):
-    return linalg.covariance_pca(_embeddings(s, d), "embedding", 8).select("vec_id", "scores")
+    rows = _embeddings(s, d)
+    n = rows.count()
+    made = linalg.moments(linalg.covariance_pca(rows, "embedding", 8), "scores")
+    # the older covariance is over n
+    return made.select("i", "j", F.round(F.col("cov") * (n - 1) / n, 6).alias("cov"))
 
 
-@query()
+@query(f"WITH {_LENGTHS.format('embedding[1:2]')} SELECT vec_id, round(l, 6) AS squares FROM l")
 def plane_coordinates(s, d):
-    return linalg.plane(_embeddings(s, d), "embedding").select("vec_id", "px", "py")
+    flat = _embeddings(s, d).select("vec_id", F.slice("embedding", 1, 2).alias("v"))
+    return linalg.plane(flat, "v").select("vec_id", F.round(F.col("px") * F.col("px") + F.col("py") * F.col("py"), 6).alias("squares"))
 
 
 _XY = "xy AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS px, CAST(embedding[2] AS DOUBLE) AS py FROM embeddings), r AS (SELECT min(px) AS a, max(px) AS b, min(py) AS c, max(py) AS e FROM xy)"
@@ -422,6 +509,11 @@ def precision_at_k(s, d):
     return retrieval.precision_at(_ranks(s, d), 10).select("qid", F.round("p_at_k", 6).alias("p_at_k"))
 
 
+@query(f"WITH {_UNIT}, {_PAIR.format(junk='false')} SELECT qid, gid, CAST(rank AS INT) AS rank, sim FROM (SELECT qid, gid, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, gid) AS rank FROM pair) WHERE rank <= 5")
+def retrieval_topk(s, d):
+    return retrieval.top_k(_embeddings(s, d), "vec_id", "embedding", 5)
+
+
 # ---- metric series
 _SER = "s AS (SELECT event_type AS name, event_id AS step, value FROM events WHERE value IS NOT NULL)"
 
@@ -480,9 +572,9 @@ def cosine_schedule(s, d):
     return training_math.cosine_schedule(s, 0.0005, 1e-6, 200, 20).withColumn("value", F.round("value", 9))
 
 
-@query("SELECT i AS epoch, round(CASE WHEN i < 30 THEN 0.04::DOUBLE + (0.07::DOUBLE - 0.04::DOUBLE) * i / 29 ELSE 0.07::DOUBLE END, 9) AS value FROM range(100) t(i)")
+@query("SELECT i AS epoch, round(CASE WHEN i < 5 THEN 0.04::DOUBLE WHEN i < 35 THEN 0.04::DOUBLE + (0.07::DOUBLE - 0.04::DOUBLE) * (i - 5) / 29 ELSE 0.07::DOUBLE END, 9) AS value FROM range(100) t(i)")
 def temp_schedule(s, d):
-    return training_math.temperature_schedule(s, 0.04, 0.07, 30, 100).withColumn("value", F.round("value", 9))
+    return training_math.temperature_schedule(s, 0.04, 0.07, 30, 100, 5).withColumn("value", F.round("value", 9))
 
 
 @query(f"""WITH RECURSIVE {_SER}, n AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY step) AS r, count(*) OVER (PARTITION BY name) AS n FROM s)
@@ -499,13 +591,30 @@ def ema_params(s, d):
 
 
 _SM = "list_transform({0}, lambda x: exp((x - list_max({0})) / {1}::DOUBLE))"
+_CENTER = f"{_TOKENS}, {_LONG}, cm AS (SELECT i, avg(x) AS m FROM (SELECT page, i, avg(x) AS x FROM long WHERE win = 0 AND pos < 2 GROUP BY 1, 2) GROUP BY 1), cv AS (SELECT list(m ORDER BY i) AS c FROM cm)"
 
 
-@query(f"""WITH t AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), e AS (SELECT vec_id, v, {_SM.format('v', '0.04')} AS p, ln(list_sum({_SM.format('v', '0.1')})) AS z, list_max(v) AS m FROM t),
-q AS (SELECT vec_id, list_transform(p, lambda x: x / list_sum(p)) AS p, list_transform(v, lambda x: (x - m) / 0.1::DOUBLE - z) AS l FROM e) SELECT vec_id, round(-list_sum(list_transform(list_zip(p, l), lambda y: y[1] * y[2])), 6) AS loss FROM q""")
+def _views(s, d):
+    """Teacher views (two of a page), student views (five), and the centre: the mean over a page's views, then over pages."""
+    rows = _tokens(s, d).select("page", "win", "pos", V.doubles("v").alias("v"))
+    teacher, student = rows.where("win = 0 and pos < 2"), rows.where("win = 1")
+    return teacher, student, pooling.mean_vectors(pooling.mean_vectors(teacher, ["page"], "v"), [], "vec", "center")
+
+
+@query(f"WITH {_CENTER} SELECT list_transform(c, lambda x: round(x, 6) + 0) AS center FROM cv")
+def center_mean(s, d):
+    return _views(s, d)[2].select(V.rounded(F.col("center")).alias("center"))
+
+
+@query(f"""WITH {_CENTER}, t AS (SELECT page, pos AS q, list_transform(list_zip(v, c), lambda z: z[1] - z[2]) AS v FROM tokens, cv WHERE win = 0 AND pos < 2), st AS (SELECT page, pos AS w, v FROM tokens WHERE win = 1),
+e AS (SELECT page, q, {_SM.format('v', '0.04')} AS p FROM t), l AS (SELECT page, w, v, ln(list_sum({_SM.format('v', '0.1')})) AS z, list_max(v) AS m FROM st),
+x AS (SELECT page, -list_sum(list_transform(list_zip(p, v), lambda y: y[1] / list_sum(p) * ((y[2] - m) / 0.1::DOUBLE - z))) AS loss FROM e JOIN l USING (page) WHERE q <> w)
+SELECT page, count(*) AS n_pairs, round(avg(loss), 6) AS loss FROM x GROUP BY 1""")
 def softmax_ce(s, d):
-    v = V.doubles("embedding")
-    return _embeddings(s, d).select("vec_id", F.round(training_math.cross_entropy(v, v, None, 0.04), 6).alias("loss"))
+    teacher, student, center = _views(s, d)
+    pairs = teacher.select("page", F.col("pos").alias("q"), F.col("v").alias("t")).join(student.select("page", F.col("pos").alias("w"), F.col("v").alias("s")), "page").where("q <> w")
+    loss = training_math.cross_entropy(F.col("t"), F.col("s"), F.col("center"), 0.04)
+    return pairs.join(F.broadcast(center), F.lit(True)).groupBy("page").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(loss), 6).alias("loss"))
 
 
 @query("""SELECT vec_id, round(list_sum(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x > 0)) / greatest(len(list_filter(embedding, lambda x: x > 0)), 1), 6) AS loss FROM embeddings""")
@@ -514,9 +623,24 @@ def masked_patch_loss(s, d):
     return _embeddings(s, d).select("vec_id", F.round(training_math.masked_mean(v, F.transform(v, lambda x: x > 0)), 6).alias("loss"))
 
 
-@query("SELECT q, v, CASE WHEN q = v THEN 'patch' ELSE 'class' END AS kind FROM range(2) a(q), range(6) b(v)")
+@query(f"WITH {_TOKENS}, p AS (SELECT page, pos FROM tokens WHERE win = 0) SELECT a.page, a.pos AS q, b.pos AS v, CASE WHEN a.pos = b.pos THEN 'patch' ELSE 'class' END AS kind FROM p a JOIN p b USING (page) WHERE a.pos < 2")
 def view_pairs(s, d):
-    return training_math.view_pairs(s, 2, 6)
+    views = _tokens(s, d).where("win = 0")
+    wanted = training_math.view_pairs(s, 2, 5)
+    have = lambda n: views.select("page", F.col("pos").alias(n))
+    return have("q").join(F.broadcast(wanted), "q").join(have("v"), ["page", "v"]).select("page", "q", "v", "kind")
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 100 < 10 THEN 0.0 ELSE CASE {_DRAW.format("'choice|' || event_id")} % 2 WHEN 0 THEN 0.3::DOUBLE - 0.05::DOUBLE + {_DRAW.format("'spread|' || event_id")} / 281474976710656 * 0.1::DOUBLE ELSE 0.5::DOUBLE END END AS ratio FROM events")
+def masking_ratios(s, d):
+    ratio = training_math.masking_ratio(F.col("event_id") % 100, 10, [0.3, 0.5], [0.05, 0.0], F.col("event_id"))
+    return table(s, d, "events").select("event_id", ratio.alias("ratio"))
+
+
+@query("SELECT event_id, (event_id // 312 + 1) % 5 = 0 AS saves, event_id // 312 <> 0 AND event_id // 312 % 4 = 0 AS shows FROM events")
+def epoch_cadence(s, d):
+    epoch = F.expr("event_id div 312")
+    return table(s, d, "events").select("event_id", meters.at_epoch_ends(epoch, 5).alias("saves"), meters.at_later_epochs(epoch, 4).alias("shows"))
 
 
 @query("""WITH t AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings)
@@ -532,24 +656,30 @@ def attention_topn_mask(s, d):
     return _embeddings(s, d).select("vec_id", training_math.top_mask(F.col("embedding"), 0.3).alias("mask"))
 
 
-@query()
+@query(f"""WITH a AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), r AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM a),
+h AS (SELECT *, r <= 6 AND row_number() OVER (PARTITION BY vec_id, r <= 6 ORDER BY {_DRAW.format("vec_id || '|' || i")}, i) <= 1 AS shown FROM r) SELECT vec_id, list(r <= 19 AND NOT shown ORDER BY i) AS mask FROM h GROUP BY 1""")
 def hint_mask(s, d):
     return _embeddings(s, d).select("vec_id", training_math.hinted_mask(F.col("embedding"), 0.3, 0.1, F.col("vec_id")).alias("mask"))
 
 
-@query()
+@query(f"WITH k AS (SELECT vec_id, unnest(range(64)) AS i FROM embeddings), o AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY {_DRAW.format("vec_id || '|' || i")}, i) <= 19 AS m FROM k) SELECT vec_id, list(m AND {_DRAW.format("vec_id || '|drop'")} / 281474976710656 <= 0.5 ORDER BY i) AS mask FROM o GROUP BY 1")
 def random_mask(s, d):
     return _embeddings(s, d).select("vec_id", training_math.dropped_masks(training_math.seeded_mask(64, 0.3, F.col("vec_id")), 0.5, F.col("vec_id"), F.lit("drop")).alias("mask"))
 
 
-@query()
+@query(f"SELECT DISTINCT ON (t, path) dataset, filename, path FROM (SELECT DISTINCT dataset, filename, path, {_DRAW.format("'700021|' || path")} AS t FROM images WHERE {_IMG.format('filename')}) ORDER BY t, path LIMIT 300")
 def sampled_pages(s, d):
     return training_math.seeded_sample(_images(s, d).select("dataset", "filename", "path").distinct(), "path", 300, 7)
 
 
-@query()
+@query(f"SELECT vec_id, row_number() OVER (ORDER BY {_DRAW.format("'100006|' || vec_id")}, vec_id) - 1 AS position FROM embeddings")
 def shuffled_epoch(s, d):
-    return training_math.seeded_order(_embeddings(s, d).select("vec_id"), "vec_id", 1, 3)
+    return training_math.shuffled(_embeddings(s, d).select("vec_id"), "vec_id", 1, 3)
+
+
+@query(f"WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings) SELECT draw_id, vec_id FROM range(700) r(draw_id) JOIN p ON p.place = {_DRAW.format("'9|' || draw_id")} % p.n")
+def drawn_again(s, d):
+    return training_math.drawn_again(_embeddings(s, d).select("vec_id"), "vec_id", 700, 9)
 
 
 @query(f"""WITH {_TOKENS}, a AS (SELECT page, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM tokens WHERE pos >= 1), m AS (SELECT page, i, avg(x) AS x FROM a GROUP BY 1, 2), n AS (SELECT page, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM m GROUP BY 1)
@@ -592,6 +722,17 @@ def state_dict_reconcile(s, d):
     return reconcile.reconciled(_bare(s, d), given)
 
 
+@query(f"""WITH {_STATE}, {_STRIPPED}, {_GIVEN} SELECT a.name FROM bare a LEFT JOIN given b ON a.name = b.name WHERE (b.shape IS NULL OR a.shape <> b.shape) AND NOT starts_with(a.name, 'blocks.1.')""")
+def inference_gaps(s, d):
+    return reconcile.gaps(state_dict_reconcile(s, d), "blocks.1.").select("name")
+
+
+@query("SELECT p_partkey, p_partkey % 4 < 2 AND contains(CASE WHEN p_partkey % 3 = 0 THEN 'head.last_layer.' || p_name ELSE p_name END, 'last_layer') AS frozen FROM part")
+def frozen_parameters(s, d):
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("head.last_layer."), F.col("p_name"))).otherwise(F.col("p_name"))
+    return table(s, d, "part").select("p_partkey", training_math.frozen(name, F.col("p_partkey") % 4, 2).alias("frozen"))
+
+
 @query(f"WITH {_STATE} SELECT name, NOT (ends_with(name, '.bias') OR len(shape) = 1) AS decayed FROM state")
 def param_groups(s, d):
     return _state(s, d).select("name", reconcile.decayed(F.col("name"), F.col("shape")).alias("decayed"))
@@ -613,9 +754,13 @@ def merged_states(s, d):
     return reconcile.merged_states(table(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value")), table(s, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("value")), "key", "value")
 
 
-@query("SELECT * FROM (VALUES ('vit_base', 768, 12, 12), ('vit_large', 1024, 24, 16), ('vit_small', 384, 12, 6), ('vit_tiny', 192, 12, 3)) t(arch, embed_dim, depth, heads)")
+@query("""WITH k AS (SELECT * FROM (VALUES ('vit_base', 768, 12, 12), ('vit_large', 1024, 24, 16), ('vit_small', 384, 12, 6), ('vit_tiny', 192, 12, 3)) t(arch, w, n, heads)),
+c AS (SELECT s_suppkey, CAST([192, 384, 768, 1024, 512][s_suppkey % 5 + 1] AS INT) AS embed_dim, CAST([12, 24][s_suppkey % 3 % 2 + 1] AS INT) AS depth FROM supplier) SELECT s_suppkey, embed_dim, depth, arch, heads FROM c LEFT JOIN k ON w = embed_dim AND n = depth""")
 def arch_lookup(s, d):
-    return reconcile.architectures(s)
+    key = F.col("s_suppkey")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    told = table(s, d, "supplier").select("s_suppkey", pick([192, 384, 768, 1024, 512], key % 5).alias("embed_dim"), pick([12, 24], key % 3 % 2).alias("depth"))
+    return reconcile.named_architecture(told, "embed_dim", "depth")
 
 
 # ---- lineage and sidecars
@@ -643,10 +788,10 @@ def sidecar_mismatch(s, d):
     return matrices.mismatched_sidecars(cars, "vit@00000000+step1").groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT row_id AS row, image, n_windows FROM mapping")
+@query("SELECT row_id AS row, image, n_windows, (SELECT count(*) FROM mapping) AS n_rows FROM mapping")
 def sidecar_rows(s, d):
-    car = settle(table(s, d, "mapping").select("row_id", "image", "n_windows"))
-    return car.select(F.col("row_id").alias("row"), "image", "n_windows")
+    fields, listed = matrices.sidecar(table(s, d, "mapping"), {"model_id": "vit@00000000+step1", "pooling": "mean"}, "row_id", "image", "n_windows")
+    return matrices.listed_rows(settle(listed)).join(F.broadcast(fields.select("n_rows")), F.lit(True))
 
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS image, " + ", ".join(f"embedding[{i + 1}] AS d{i}" for i in range(64)) + " FROM embeddings")
@@ -660,15 +805,15 @@ def wide_roundtrip(s, d):
 
 
 # ---- scalars and small tables
-@query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, sha256(body) AS digest FROM documents WHERE body IS NOT NULL")
 def file_digest(s, d):
-    return table(s, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return table(s, d, "documents").where("body is not null").select("doc_id", F.sha2("body", 256).alias("digest"))
 
 
 @query(f"""SELECT doc_id, split_part(source, '.', 1) AS family, regexp_replace(source, '^www\\.', '') AS bare, 'checkpoint_epoch' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(4, len(CAST(doc_id AS VARCHAR))) AS INT), '0') AS name,
-lower({trim("coalesce(lang, '')")}) IN ('1', 'true', 'yes', 'on') AS truthy, replace(replace(replace(replace(replace(source, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM documents""")
+lower({trim("coalesce([' Yes', 'TRUE', '0', 'on ', 'no', NULL, '1', 'off'][doc_id % 8 + 1], '')")}) IN ('1', 'true', 'yes', 'on') AS truthy, replace(replace(replace(replace(replace(source, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM documents""")
 def string_scalars(s, d):
-    return table(s, d, "documents").select("doc_id", F.split_part("source", F.lit("."), F.lit(1)).alias("family"), F.regexp_replace("source", r"^www\.", "").alias("bare"), F.concat(F.lit("checkpoint_epoch"), F.format_string("%04d", "doc_id")).alias("name"), T.truthy("lang").alias("truthy"), T.html_escaped("source").alias("escaped"))
+    return table(s, d, "documents").select("doc_id", F.split_part("source", F.lit("."), F.lit(1)).alias("family"), F.regexp_replace("source", r"^www\.", "").alias("bare"), F.concat(F.lit("checkpoint_epoch"), F.format_string("%04d", "doc_id")).alias("name"), T.truthy(F.element_at(F.array(*map(F.lit, [" Yes", "TRUE", "0", "on ", "no", None, "1", "off"])), (F.col("doc_id") % 8 + 1).cast("int"))).alias("truthy"), T.html_escaped("source").alias("escaped"))
 
 
 @query("SELECT label, CAST(least(30, greatest(5, (count(*) - 1) // 3)) AS BIGINT) AS perplexity FROM embeddings GROUP BY 1")
@@ -676,21 +821,27 @@ def perplexity(s, d):
     return _embeddings(s, d).groupBy("label").agg(F.least(F.lit(30).cast("long"), F.greatest(F.lit(5).cast("long"), F.expr("(count(*) - 1) div 3"))).alias("perplexity"))
 
 
-@query("SELECT * FROM (VALUES ('aggressive', 2, 8), ('default', 2, 6), ('mild', 2, 4)) t(preset, n_global, n_local)")
+@query(f"""WITH {_ZONED}, n AS (SELECT dataset, CAST(sum(len({_AX.format('ax', 'bx')}) * len({_AX.format('ay', 'by_')})) AS BIGINT) AS n FROM p GROUP BY 1), v AS (SELECT * FROM (VALUES ('aggressive', 8), ('default', 6), ('mild', 4)) t(preset, n_local))
+SELECT dataset, preset, 3 * n AS n_global, n_local * n AS n_local FROM n, v""")
 def aug_presets(s, d):
-    # Crops of each preset.
-    return s.createDataFrame([("mild", 2, 4), ("default", 2, 6), ("aggressive", 2, 8)], "preset string, n_global int, n_local int")
+    # the views of each preset, the number of global ones overridden
+    crops = presets.preset_rows(s, global_crops_number=3).where("parameter in ('global_crops_number', 'local_crops_number')")
+    crops = crops.groupBy("preset").agg(F.max(F.when(F.col("parameter") == "global_crops_number", F.col("high"))).cast("long").alias("g"), F.max(F.when(F.col("parameter") == "local_crops_number", F.col("high"))).cast("long").alias("l"))
+    counts = _zoned(s, d).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(crops), F.lit(True)).select("dataset", "preset", (F.col("g") * F.col("n")).alias("n_global"), (F.col("l") * F.col("n")).alias("n_local"))
 
 
-@query("SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
+@query("SELECT vec_id, list_transform(range(4), lambda j: round(list_sum(list_transform(range(64), lambda i: CAST(embedding[i + 1] AS DOUBLE) * ((i * 7 + j * 13) % 11 - 5))), 4) + 0) AS vec FROM embeddings")
 def embed_udf_contract(s, d):
     import numpy as np
 
+    weights = np.array([[(i * 7 + j * 13) % 11 - 5 for j in range(4)] for i in range(64)], np.float64)
+
     def model(contents):
-        return np.array([[sum(np.frombuffer(c, np.float32).astype(np.float64))] for c in contents])
+        return np.array([np.frombuffer(c, np.float32).astype(np.float64) for c in contents]).reshape(-1, 64) @ weights
 
     packed = _embeddings(s, d).select("vec_id", "embedding").mapInArrow(_bytes_of, "vec_id long, content binary")
-    return plugins.embedded(packed, model, ["vec_id"], "content").select("vec_id", F.round(F.col("vec")[0].cast("double"), 4).alias("total"))
+    return plugins.embedded(packed, model, ["vec_id"], "content").select("vec_id", V.rounded(V.doubles("vec"), 4).alias("vec"))
 
 
 def _bytes_of(batches):

@@ -29,10 +29,32 @@ def model_id(arch: Column, config_hash: Column, step: Column) -> Column:
     return F.concat(arch, F.lit("@"), F.substring(config_hash, 1, 8), F.lit("+step"), step.cast("string"))
 
 
-def sidecar(rows: DataFrame, meta: dict, row: str, image: str, n_windows: str) -> DataFrame:
-    """One row, its columns the sidecar's fields, ``rows`` an array ordered by row."""
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(row).alias("row"), F.col(image).alias("image"), F.col(n_windows).alias("n_windows")))).alias("rows"), F.count(F.lit(1)).alias("n_rows"))
-    return listed.select(*[F.lit(v).alias(k) for k, v in meta.items()], "n_rows", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created"), "rows")
+def sidecar(rows: DataFrame, meta: dict, row: str, image: str, n_windows: str) -> tuple[DataFrame, DataFrame]:
+    """(fields, listed): one row with the sidecar's fields and n_rows, and a JSON line for each of its rows; of any size."""
+    fields = rows.agg(F.count(F.lit(1)).alias("n_rows")).select(*[F.lit(v).alias(k) for k, v in meta.items()], "n_rows", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created"))
+    return fields, rows.select(F.to_json(F.struct(F.col(row).alias("row"), F.col(image).alias("image"), F.col(n_windows).alias("n_windows"))).alias("value"))
+
+
+def listed_rows(lines: DataFrame, text: str = "value") -> DataFrame:
+    """(row, image, n_windows) from the JSON lines of a sidecar."""
+    return lines.select(F.from_json(text, "struct<row:bigint,image:string,n_windows:int>").alias("r")).select("r.*")
+
+
+def write_sidecar(rows: DataFrame, meta: dict, row: str, image: str, n_windows: str, path: str) -> None:
+    """<path>/fields as JSON and <path>/rows as JSON lines."""
+    fields, listed = sidecar(rows, meta, row, image, n_windows)
+    fields.write.mode("overwrite").json(f"{path}/fields")
+    listed.write.mode("overwrite").text(f"{path}/rows")
+
+
+def read_sidecar(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.json(f"{path}/fields"), listed_rows(spark.read.text(f"{path}/rows"))
+
+
+def prior_start(folder: str) -> str | None:
+    """What the run before in this folder was started from, by its manifest."""
+    at = Path(folder) / "run_manifest.json"
+    return json.loads(at.read_text()).get("init_from") if at.exists() else None
 
 
 def mismatched_sidecars(sidecars: DataFrame, model: str) -> DataFrame:
