@@ -3,6 +3,7 @@ import random
 import pytest
 
 from vellum.llm import packing
+from vellum.llm.queries import VOCABULARY
 
 
 def naive(sizes, capacity):
@@ -49,5 +50,5 @@ def test_nothing_is_lost_split_or_overfilled(spark):
 def test_token_sizes(spark):
     long = "word " * 30000
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, long), (4, long), (None, "x")], "id long, text string")
-    got = [tuple(r) for r in packing.token_sizes(df, "id", "text").collect()]
+    got = [tuple(r) for r in packing.token_sizes(df, "id", "text", VOCABULARY).collect()]
     assert sorted(got, key=str) == sorted([(1, 2), (2, 0), (3, 0), (4, 30001), (4, 30001), (None, 1)], key=str)

@@ -1,6 +1,6 @@
 import numpy as np
 
-from vellum.llm import clusters, neighbours
+from vellum.llm import clusters, neighbours, routing
 from vellum.llm.vectors import VantageTree, distance
 
 DIM = 8
@@ -107,37 +107,59 @@ def single_linkage(u, least):
         par = nxt
 
 
-def test_links_that_no_neighbour_list_holds(spark, monkeypatch):
-    """A hot vector with a row linked to it alone, and a chain of single rows, without any list to start from."""
-    monkeypatch.setattr(clusters, "neighbour_graph", lambda reps, *_: spark.createDataFrame([], "v long, u long, cos float"))
-    monkeypatch.setattr(clusters, "ROWS_A_TASK", 16)
+def test_hot_copies_chains_and_links_beyond_full_lists(spark, monkeypatch):
+    """A hot vector with a row linked to it alone, a chain, and dense groups whose lists hold their own rows only."""
     flat = np.zeros((6, DIM))
     for i, angle in enumerate((0.0, 0.5, 0.0, 0.5, 1.0, 1.5)):
         flat[i, 2 * (i > 1) : 2 * (i > 1) + 2] = np.cos(angle), np.sin(angle)
-    x = np.vstack([flat, np.repeat(flat[:1], 300, axis=0), np.random.default_rng(8).normal(size=(60, DIM))])
+    two = np.zeros((60, DIM))
+    rnd = np.random.default_rng(3)
+    for i in range(60):
+        angle = 0.54 * (i >= 30) + rnd.normal() * 1e-3
+        two[i, 6:8] = np.cos(angle), np.sin(angle)
+    x = np.vstack([flat, np.repeat(flat[:1], 300, axis=0), two, rnd.normal(size=(60, DIM))])
     rows, links = clusters.similarity_clusters(frame(spark, x), "row_id", "vec", DIM, 0.85)
     rows = rows.collect()
-    got = {r["row_id"]: r["cluster_id"] for r in rows}
-    community = {r["row_id"]: r["community"] for r in rows}
-    assert community[1] == community[0] and len({community[i] for i in range(2, 6)}) < 4
     want = single_linkage(unit(x), 0.85)
-    assert got == dict(enumerate(want)) and want[1] == 0 and want[5] == want[2]
+    assert {r["row_id"]: r["cluster_id"] for r in rows} == dict(enumerate(want)) and want[1] == 0 and want[5] == want[2] and want[306] == want[365]
+    assert clusters.linked_clusters(frame(spark, x), "row_id", "vec", DIM, 0.85).select("row_id", "cluster_id").distinct().count() == len(x)
     u = unit(x)
-    reps = [i for i in range(len(x)) if i < 6 or i >= 306]
-    assert {(r["a"], r["b"]) for r in links.collect()} == {(a, b) for a in reps for b in reps if a < b and u[a] @ u[b] >= 0.85}
-
-
-def test_links_between_parts_of_a_cluster(spark, monkeypatch):
-    """Components of several rows, of which some are joined by links and some by single rows between them."""
-    monkeypatch.setattr(clusters, "MEET_ROWS", 8)
-    u = unit(data(9, 6, 20)).astype(np.float32)
-    reps = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(u)], "rep long, vec binary")
-    part = [i if i % 5 == 0 else i - i % 20 + i % 2 + 1 for i in range(len(u))]
-    part = [min(j for j in range(len(u)) if part[j] == p) for p in part]
-    placed = spark.createDataFrame(list(enumerate(part)), "rep long, component long")
-    s = u.astype(np.float64) @ u.T.astype(np.float64)
-    got = [(r["a"], r["b"]) for r in clusters.bridges(placed, reps, DIM, 0.9).collect()]
-    assert sorted(got) == [(a, b) for a in range(len(u)) for b in range(a + 1, len(u)) if s[a, b] >= 0.9 and part[a] != part[b]]
+    assert all(u[r["a"]] @ u[r["b"]] >= 0.85 for r in links.collect())
+
+
+def test_clusters_through_levels_of_routing_and_undivided_shards(spark, monkeypatch):
+    monkeypatch.setattr(routing, "SLOTS", 8)
+    monkeypatch.setattr(clusters, "SHARD_ROWS", 40)
+    # 400 vectors that all but coincide can't be divided, only cut
+    x = np.vstack([data(4, 12, 30), data(6, 1, 1) + np.random.default_rng(2).normal(size=(400, DIM)) * 1e-6])
+    want = single_linkage(unit(x), 0.8)
+    got = {r["row_id"]: r["cluster_id"] for r in clusters.linked_clusters(frame(spark, x), "row_id", "vec", DIM).collect()}
+    # shards of little more than a group of 30: what is asked of an index
+    assert np.mean([got[i] == w for i, w in enumerate(want)]) >= 0.9
+    assert len({got[i] for i in range(len(x) - 400, len(x))}) == 1
+
+
+def test_exact_search_through_levels_of_routing(spark, monkeypatch):
+    monkeypatch.setattr(routing, "SLOTS", 8)
+    x = data(7, 20, 30)
+    u = unit(x).astype(np.float32).astype(np.float64)
+    near = neighbours.most_similar(frame(spark, x), "row_id", "vec", DIM, 4, factor=1.0, shard_rows=20)
+    got: dict = {}
+    for r in near.collect():
+        got.setdefault(r["row_id"], []).append(r["cosine"])
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert all(np.allclose(sorted(got[i], reverse=True), np.sort(s[i])[::-1][:4], atol=1e-6) for i in range(len(x)))
+
+
+def test_all_ties_of_the_last_place_are_seen():
+    from vellum.llm.vectors import VantageTree
+
+    x = np.zeros((40, DIM), np.float32)
+    x[:, 0] = 1
+    ids = np.arange(40)[::-1].copy()
+    _, near = VantageTree(x, 64).nearest(x[:1], 5, np.array([2.0]), 1.0, ids, np.array([99]))
+    assert near[0].tolist() == [0, 1, 2, 3, 4]
 
 
 def modularity_gains(links, place):

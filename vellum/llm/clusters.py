@@ -29,6 +29,7 @@ ROUTINGS = 4
 MOST_ROUNDS = 50  # rounds never reach this; it ends in an error
 FEW = 0.001  # the descent ends when fewer than this share of the lists' entries are new
 LINK = 0.8
+STAR = 3.0  # no cosine: marks a row's tie to the least row that a shard's links join it to
 MOVES = 4
 MOST_TURNS = 1000  # turns never reach this; it ends in an error
 GAIN = 1e-9  # of a node's degree: gains below it are rounding
@@ -53,7 +54,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _met(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int, least: float, same: bool) -> list[np.ndarray]:
     """[v, u, cos]: for rows of x the k nearest of y with cosine NEAR or more, and a link for every two groups of rows that
-    only links beyond these lists join; ``same`` if y is x."""
+    only links beyond these lists join; ``same`` if y is x: then also, at the cosine STAR, each row with the least row that links join it to."""
     n, shift = len(x), 0 if same else len(x)
     vs, us, cs = [], [], []
 
@@ -92,6 +93,11 @@ def _met(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: i
                 p, q = root[i + a], root[j + shift]
                 _, once = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0, return_index=True)
                 v, u, w = np.append(v, i[once] + a), np.append(u, j[once]), np.append(w, c[i[once], j[once]])
+    if same:
+        sure = w >= least + 1e-6
+        root = _roots(n, v[sure], u[sure])
+        far = np.flatnonzero(root != np.arange(n))
+        v, u, w = np.append(v, far), np.append(u, root[far]), np.append(w, np.full(len(far), STAR))
     return [ids[v], others[u], w.astype(np.float32)]
 
 
@@ -103,7 +109,9 @@ def _in_shard(dim: int, k: int, least: float):
     """Near rows and links within a shard."""
 
     def run(t: pa.Table) -> pa.Table:
-        x, ids = from_binary(t["vec"], dim), t["id"].to_numpy()
+        ids = t["id"].to_numpy()
+        order = np.argsort(ids)
+        x, ids = from_binary(t["vec"], dim)[order], ids[order]
         return _table(_met(x, ids, x, ids, k, least, True))
 
     return run
@@ -123,17 +131,17 @@ def _across(dim: int, k: int, least: float):
 
 
 def _near_in_shards(homed: DataFrame, dim: int, k: int, least: float, shard_rows: int) -> DataFrame:
-    """(v, u, cos) within the shards of homed (id, vec, shard). A shard that routing could not divide, its vectors all but
-    coinciding, is cut by hash, and every two of its cuts meet too."""
+    """(v, u, cos, across) within the shards of homed (id, vec, shard). A shard that routing could not divide, its vectors all but
+    coinciding, is cut by hash, and every two of its cuts meet too, across."""
     cuts = settle(homed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (OVER * shard_rows)).cast("int").alias("cuts")))
     dealt = homed.join(cuts, "shard").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
-    inside = dealt.groupBy("shard", "cut").applyInArrow(_in_shard(dim, k, least), "v long, u long, cos float")
+    inside = dealt.groupBy("shard", "cut").applyInArrow(_in_shard(dim, k, least), "v long, u long, cos float").withColumn("across", F.lit(False))
     if not cuts.where("cuts > 1").limit(1).count():
         return inside
     hard = dealt.where("cuts > 1")
     first = hard.withColumn("j", F.explode(F.sequence(F.col("cut"), F.col("cuts") - 1))).where("j > cut").select("shard", F.col("cut").alias("i"), "j", "id", "vec")
     second = hard.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cut")))).where("i < cut").select("shard", "i", F.col("cut").alias("j"), "id", "vec")
-    return inside.unionByName(first.groupBy("shard", "i", "j").cogroup(second.groupBy("shard", "i", "j")).applyInArrow(_across(dim, k, least), "v long, u long, cos float"))
+    return inside.unionByName(first.groupBy("shard", "i", "j").cogroup(second.groupBy("shard", "i", "j")).applyInArrow(_across(dim, k, least), "v long, u long, cos float").withColumn("across", F.lit(True)))
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -201,8 +209,10 @@ def _local_join(dim: int, width: int, least: float):
     return run
 
 
-def neighbour_graph(reps: DataFrame, dim: int, k: int = NEIGHBOURS, least: float = LINK, shard_rows: int = SHARD_ROWS, routings: int = ROUTINGS) -> DataFrame:
-    """(v, u, cos): near neighbours of each distinct vector of ``reps`` (rep, vec), and links of ``least`` or more that were met on the way.
+def neighbour_graph(reps: DataFrame, dim: int, k: int = NEIGHBOURS, least: float = LINK, shard_rows: int = SHARD_ROWS, routings: int = ROUTINGS) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """(edges, stars, links) of the distinct vectors ``reps`` (rep, vec): edges (v, u, cos) are the lists of near neighbours; stars, one
+    (v, u) a routing, tie each vector to the least that links of ``least`` or more join it to within its shard; links (v, u, cos) are the other
+    pairs that were met and, by their float16 vectors, may be links.
 
     Each of several routings puts like vectors into one shard, within which all pairs meet: the k nearest of each row are
     its list, and where links beyond the lists join what the lists leave apart, one of them is kept. Neighbour descent
@@ -211,14 +221,16 @@ def neighbour_graph(reps: DataFrame, dim: int, k: int = NEIGHBOURS, least: float
     spark = reps.sparkSession
     points = reps.withColumnRenamed("rep", "id")
     n = reps.count()
-    met = None
+    met, stars = None, []
     for r in range(routings):
         homed, _ = routed(points, n, dim, shard_rows, 3 + r)
         made = settle(_near_in_shards(homed, dim, k, least, shard_rows).withColumn("tag", F.lit(1 << r)))
         discard(homed)
-        met = made if met is None else met.unionByName(made)
-    edges = settle(_best(met.withColumn("fresh", F.lit(True)), k))
-    links = met.where(F.col("cos") >= least - HALF_ERROR).select("v", "u", "cos")
+        stars.append(made.where(F.col("cos") == STAR).select("v", "u"))
+        near = made.where(F.col("cos") < STAR)
+        met = near if met is None else met.unionByName(near)
+    edges = settle(_best(met.drop("across").withColumn("fresh", F.lit(True)), k))
+    links = met.where((F.col("cos") >= least - HALF_ERROR) & F.col("across")).select("v", "u", "cos")
     halves = settle(points.mapInArrow(_narrow, "id long, half binary"))
     for turn in range(MOST_ROUNDS):
         kth = edges.groupBy(F.col("v").alias("u")).agg(F.when(F.count(F.lit(1)) >= k, F.min("cos")).otherwise(-1.0).cast("float").alias("kth"))
@@ -230,7 +242,8 @@ def neighbour_graph(reps: DataFrame, dim: int, k: int = NEIGHBOURS, least: float
         asked = members.join(open_, "v").join(kth, "u", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0).cast("float")))
         held = asked.join(halves.withColumnRenamed("id", "u"), "u").select("v", "u", "tag", "fresh", "half", "kth").repartition(fan_out(spark) * 2, "v").sortWithinPartitions("v")
         better = settle(held.mapInArrow(_local_join(dim, 1024, least), "v long, u long, cos float"))
-        links = links.unionByName(better.where(F.col("cos") >= least - HALF_ERROR))
+        found = better.where(F.col("cos") >= least - HALF_ERROR)
+        links = links.unionByName(found)
         old = edges.withColumn("fresh", F.lit(False)).unionByName(better.withColumns({"tag": F.lit(0), "fresh": F.lit(True)}))
         nxt = settle(_best(old, k))
         discard(edges)
@@ -242,7 +255,7 @@ def neighbour_graph(reps: DataFrame, dim: int, k: int = NEIGHBOURS, least: float
     else:
         raise RuntimeError("neighbour descent did not settle")
     discard(halves)
-    return edges.select("v", "u", "cos").unionByName(links)
+    return edges.select("v", "u", "cos"), stars, links
 
 
 def links_above(edges: DataFrame, reps: DataFrame, dim: int, least: float = LINK) -> DataFrame:
@@ -376,28 +389,52 @@ def _communities_by_turns(links: DataFrame, m2: float, moves: int) -> DataFrame:
         graph = settle(joined.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
 
 
-def linked_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: float = LINK) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows (row_id, rep, cluster_id), links (a, b, w) between representatives of copies.
+def _components(reps: DataFrame, stars: list[DataFrame], pairs: DataFrame) -> DataFrame:
+    """(rep, component): what the stars and pairs (a, b) join, named by its least rep. The first routing's stars contract the rest."""
+    first = stars[0]
+    for other in stars[1:]:
+        pairs = pairs.unionByName(other.select(F.col("v").alias("a"), F.col("u").alias("b")))
+    head = lambda c, to: first.select(F.col("v").alias(c), F.col("u").alias(to))
+    met = pairs.join(head("a", "p"), "a", "left").join(head("b", "q"), "b", "left").select(F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q"))
+    joined = hash_to_min(met.where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct(), "p", "q").withColumnRenamed("node", "h")
+    return reps.select("rep").join(head("rep", "h"), "rep", "left").select("rep", F.coalesce("h", "rep").alias("h")).join(joined, "h", "left").select("rep", F.coalesce("component", "h").alias("component"))
+
+
+def _clustered(df: DataFrame, row_id: str, vec: str, dim: int, least: float):
+    """(rows (row_id, rep, cluster_id), representatives, edges, verified links) or None for a table without usable vectors."""
+    reps, copies = folded_copies(unit_vectors(df, row_id, vec, dim))
+    copies = settle(copies)
+    if not copies.limit(1).count():
+        return None
+    edges, stars, links = neighbour_graph(reps, dim, NEIGHBOURS, least, SHARD_ROWS, ROUTINGS)
+    links = links_above(links, reps, dim, least)
+    named = _components(reps, stars, links.select("a", "b"))
+    # a component is named by its least node, and a node by its least copy
+    return copies.join(named, "rep").select(F.col("id").alias(row_id), "rep", F.col("component").alias("cluster_id")), reps, edges, links
+
+
+def linked_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: float = LINK) -> DataFrame:
+    """(row_id, rep, cluster_id), rep being the least of a row's copies.
 
     A cluster is all that links of cosine >= ``least`` join, directly or through others; cluster_id is its smallest row_id.
     The links are those that the neighbour graph met; README has the measured recall. Exact copies are one node of
     the graph and share everything. Unusable vectors (null, other length, a null, NaN or infinite element,
     all zero) are left out; repeated ids stand as they are; an empty table gives no rows; extra columns are pruned.
     """
-    reps, copies = folded_copies(unit_vectors(df, row_id, vec, dim))
-    copies = settle(copies)
-    if not copies.limit(1).count():
-        s = df.sparkSession
-        return s.createDataFrame([], f"`{row_id}` long, rep long, cluster_id long"), s.createDataFrame([], "a long, b long, w double")
-    links = links_above(neighbour_graph(reps, dim, least=least), reps, dim, least)
-    named = hash_to_min(links, "a", "b").withColumnRenamed("node", "rep")
-    # a component is named by its least node, and a node by its least copy
-    return copies.join(named, "rep", "left").select(F.col("id").alias(row_id), "rep", F.coalesce("component", "rep").alias("cluster_id")), links
+    made = _clustered(df, row_id, vec, dim, least)
+    return made[0] if made else df.sparkSession.createDataFrame([], f"`{row_id}` long, rep long, cluster_id long")
 
 
 def similarity_clusters(df: DataFrame, row_id: str, vec: str, dim: int, least: float = LINK) -> tuple[DataFrame, DataFrame]:
-    """The rows and links of :func:`linked_clusters`, the rows with their community too (their own rep where they have no link)."""
-    rows, links = linked_clusters(df, row_id, vec, dim, least)
+    """The rows of :func:`linked_clusters` with their community too (their own rep where they have no link), and the graph's
+    links (a, b, w) of ``least`` or more between representatives."""
+    made = _clustered(df, row_id, vec, dim, least)
+    if not made:
+        s = df.sparkSession
+        return s.createDataFrame([], f"`{row_id}` long, rep long, community long, cluster_id long"), s.createDataFrame([], "a long, b long, w double")
+    rows, reps, edges, more = made
+    links = links_above(edges.where(F.col("cos") >= least - HALF_ERROR), reps, dim, least)
+    links = settle(links.unionByName(more).groupBy("a", "b").agg(F.max("w").alias("w")))
     rows = settle(rows)
     found = communities(links).withColumnRenamed("node", "rep")
     return rows.join(found, "rep", "left").select(row_id, "rep", F.coalesce("community", "rep").alias("community"), "cluster_id"), links

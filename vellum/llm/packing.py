@@ -15,8 +15,7 @@ from vellum.runtime import settle
 
 CAPACITY = 2048
 GROUP_TOKENS = 1 << 21  # tokens in a group on average: some thousand containers, one task's work
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: the split pattern that belongs to the vocabulary.
+# Fixed value: the split pattern that belongs to the vocabulary of 50 k byte pairs.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -37,7 +36,7 @@ def _counter(ranks_file, pattern: str):
     return run
 
 
-def token_sizes(df: DataFrame, item: str, text: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+def token_sizes(df: DataFrame, item: str, text: str, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
     """(id, n_tokens) of each row, over the whole text; null and empty texts have size 0.
 
     The vocabulary, under 1 MB, is read here and broadcast, so executors need no file.

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import sys
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from vellum.llm import clusters, leakage, lookalikes, mixing, neighbours, packin
 from vellum.runtime import settle
 
 DIM = 96
+VOCABULARY = os.environ.get("VELLUM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")  # path of the tokenizer's vocabulary file
 
 
 # ---- 1: mixing sources to target weights
@@ -70,6 +75,11 @@ def p1_draw(spark: SparkSession, d: str) -> DataFrame:
     return drawn.select(F.col("entry").alias("model_id"), F.col("source").alias("name"), "filename", "uses")
 
 
+def p1_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Of each entry and folder: the images drawn, their uses, and the most uses of one."""
+    return p1_draw(spark, d).groupBy("model_id", "name").agg(F.count(F.lit(1)).alias("n_images"), F.sum("uses").alias("n_uses"), F.max("uses").alias("most_uses"))
+
+
 # ---- 2: splits that keep related records together
 def _hands(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "labels").where(filled("filename") & filled("hand_id"))
@@ -97,8 +107,7 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- 3: grouping records into similarity clusters
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = clusters.linked_clusters(table(spark, d, "mapping"), "row_id", "vec", DIM)
-    rows = settle(rows)
+    rows = settle(clusters.linked_clusters(table(spark, d, "mapping"), "row_id", "vec", DIM))
     big = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 10").select("cluster_id")
     return rows.join(big, "cluster_id").select("row_id", "cluster_id")
 
@@ -129,7 +138,7 @@ def p6_similar(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- 8: filling fixed-capacity containers
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
-    sizes = packing.token_sizes(table(spark, d, "documents"), "doc_id", "text")
+    sizes = packing.token_sizes(table(spark, d, "documents"), "doc_id", "text", VOCABULARY)
     return packing.packed(sizes, "id", "n_tokens").withColumnRenamed("id", "doc_id")
 
 
@@ -139,6 +148,17 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("container_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_tokens").alias("n_tokens")).withColumn("unused", packing.CAPACITY - F.col("n_tokens"))
 
 
+def p8_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: every text is placed whole, in order, none is overfull, no text that fits is cut; and how full they are."""
+    sizes = settle(packing.token_sizes(table(spark, d, "documents"), "doc_id", "text", VOCABULARY))
+    held = settle(packing.packed(sizes, "id", "n_tokens"))
+    texts = held.groupBy("id").agg(F.sum("n_tokens").alias("placed"), F.count("container_id").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("ends")).join(sizes, "id")
+    wrong = texts.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if((F.col("placed") != F.col("n_tokens")) | (F.col("ends") != F.col("n_tokens"))).alias("n_lost"), F.count_if((F.col("n") > 1) & (F.col("n_tokens") <= packing.CAPACITY)).alias("n_cut"), F.count_if((F.col("n") == 0) & (F.col("n_tokens") > 0)).alias("n_unplaced"))
+    full = held.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("t"))
+    over = full.agg(F.count_if(F.col("t") > packing.CAPACITY).alias("n_overfull"), (F.sum("t") >= F.count(F.lit(1)) * packing.CAPACITY * 0.95).alias("is_full"))
+    return wrong.join(F.broadcast(over), F.lit(True))
+
+
 # ---- 9: evaluation texts leaking into training text
 def _leaks(spark: SparkSession, d: str, edited: bool) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage", edited=edited)
@@ -168,7 +188,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_shares, p1_overlap, p1_draw, p2_found, p2_split, p2_shares, p3_found, p3_communities, p6_found, p6_similar, p8_pack, p8_containers, p9_found, p9_alignments, p10_found, p10_texts)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p1_overlap, p1_draw, p1_drawn, p2_found, p2_split, p2_shares, p3_found, p3_communities, p6_found, p6_similar, p8_pack, p8_containers, p8_sound, p9_found, p9_alignments, p10_found, p10_texts)}
 
 
 # ---- the same results in SQL
@@ -207,6 +227,30 @@ need AS (SELECT {', '.join(f'greatest(lack{i}, 0) AS lack{i}' for i in range(len
 placed AS (SELECT hand_id, component, coalesce(fold.split, list_min([{_PUT}]).split) AS split FROM comp LEFT JOIN (SELECT component, split FROM fold WHERE pos > 0) fold USING (component), need)"""
 
 
+def _ranges(codes: list[int]) -> str:
+    """A character class of code points."""
+    out, first = [], None
+    for c in [*codes, -1]:
+        if first is not None and c != last + 1:
+            out.append(f"\\x{{{first:X}}}-\\x{{{last:X}}}" if first < last else f"\\x{{{first:X}}}")
+            first = None
+        first, last = c if first is None else first, c
+    return "".join(out)
+
+
+def _odd_class() -> str:
+    """The characters of which one makes a text a case of p10, by the definition of the query."""
+    odd = []
+    for i in range(sys.maxunicode + 1):
+        c, k = chr(i), unicodedata.category(chr(i))
+        if (k == "Zs" and c != " ") or k == "Cf" or 0xFF00 <= i <= 0xFFEF or (k in ("Lu", "Ll", "Lt", "Nd") and unicodedata.normalize("NFKC", c) != c):
+            odd.append(i)
+    return f"[{_ranges(odd)}]"
+
+
+_USABLE = "u AS (SELECT row_id, CAST(vec AS DOUBLE[96]) AS v FROM mapping WHERE len(vec) = 96 AND len(list_filter(vec, lambda x: isfinite(x))) = 96 AND len(list_filter(vec, lambda x: x <> 0)) > 0)"
+
+
 def sql() -> dict:
     return {
         "p1_found": f"WITH {_MIX} SELECT model_id, name FROM f WHERE quota > 3 * n_images + 1e-7",
@@ -225,6 +269,18 @@ def sql() -> dict:
         "p2_shares": f"""WITH RECURSIVE {_SPLITS}, r AS (SELECT {_trim('hand_id')} AS hand_id FROM labels WHERE {_trim('hand_id')} <> '' AND {_trim('filename')} <> '')
             SELECT split, count(*) AS n_rows, count(DISTINCT hand_id) AS n_hands, count(DISTINCT component) AS n_components, round(count(*) / (SELECT count(*) FROM r), 6) AS share
             FROM r JOIN placed USING (hand_id) GROUP BY split""",
-        "p6_found": """WITH u AS (SELECT row_id, CAST(vec AS DOUBLE[96]) AS v FROM mapping WHERE len(vec) = 96 AND len(list_filter(vec, lambda x: isfinite(x))) = 96 AND len(list_filter(vec, lambda x: x <> 0)) > 0)
+        "p3_found": f"""WITH RECURSIVE {_USABLE}, l AS (SELECT a.row_id AS a, b.row_id AS b FROM u a JOIN u b ON array_cosine_similarity(a.v, b.v) >= 0.8),
+            reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a), c AS (SELECT a AS row_id, min(b) AS cluster_id FROM reach GROUP BY 1)
+            SELECT row_id, cluster_id FROM c WHERE cluster_id IN (SELECT cluster_id FROM c GROUP BY 1 HAVING count(*) >= 10)""",
+        "p6_found": f"""WITH {_USABLE}
             SELECT a.row_id AS row_a, b.row_id AS row_b FROM u a JOIN u b ON a.row_id < b.row_id AND array_cosine_similarity(a.v, b.v) >= 0.975""",
+        # what the texts' tokens are SQL can't say, but none of them may be lost, cut or put where there is no room
+        "p8_sound": "SELECT count(*) AS n_texts, 0::BIGINT AS n_lost, 0::BIGINT AS n_cut, 0::BIGINT AS n_unplaced, 0::BIGINT AS n_overfull, true AS is_full FROM documents",
+        "p10_found": f"""SELECT doc_id FROM documents WHERE regexp_matches(text, '{_odd_class()}') OR nfc_normalize(text) <> text
+            OR regexp_matches(text, '\\p{{Latin}}\\p{{L}}*[\\p{{Greek}}\\p{{Cyrillic}}]|[\\p{{Greek}}\\p{{Cyrillic}}]\\p{{L}}*\\p{{Latin}}')""",
+        "p1_drawn": f"""WITH {_MIX}, q AS (SELECT model_id, name, share, CAST(floor(share * 1000) AS BIGINT) AS down FROM s),
+            r AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY down - share * 1000, name) AS turn, 1000 - sum(down) OVER (PARTITION BY model_id) AS rest FROM q),
+            img AS (SELECT lower(dataset) AS name, count(DISTINCT filename) AS units FROM images WHERE removed_at IS NULL AND regexp_matches(lower(filename), '\\.(png|jpg|jpeg|tif|tiff|bmp|webp)\\z') GROUP BY 1),
+            g AS (SELECT model_id, name, units, least(down + CASE WHEN turn <= rest THEN 1 ELSE 0 END, 3 * units) AS uses FROM r JOIN img USING (name))
+            SELECT model_id, name, least(uses, units) AS n_images, CAST(uses AS BIGINT) AS n_uses, CAST(ceil(uses / units) AS BIGINT) AS most_uses FROM g WHERE uses > 0""",
     }

@@ -95,6 +95,17 @@ def _down(rows: DataFrame, trees: DataFrame, step, kind: str) -> DataFrame:
     return cut.groupBy("shard", "piece").cogroup(held.groupBy("shard", "piece")).applyInArrow(meet, kind)
 
 
+def _fit(dim: int, rows_a_shard: int, seed: int):
+    """The tree of a shard from the rows sampled of it; its seed hangs on the shard alone."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x = from_binary(t["vec"], dim)[np.argsort(t["id"].to_numpy())]
+        tree = _fitted(x, t["n"][0].as_py(), rows_a_shard, seed)
+        return pa.table({"shard": t["shard"].slice(0, 1), "tree": pa.array([pickle.dumps((tree.root, len(tree.leaves)))], pa.binary()), "leaves": pa.array([len(tree.leaves)], pa.int32())})
+
+    return run
+
+
 def routed(points: DataFrame, n: int, dim: int, rows_a_shard: int, seed: int, most_sample: int = MOST_SAMPLE) -> tuple[DataFrame, Routing]:
     """((id, vec, shard), routing) of ``points`` (id, vec), n rows: shards of about ``rows_a_shard`` rows.
 
@@ -111,14 +122,9 @@ def routed(points: DataFrame, n: int, dim: int, rows_a_shard: int, seed: int, mo
         if not over.limit(1).count():
             break
 
-        def fit(t: pa.Table, level=level) -> pa.Table:
-            x = from_binary(t["vec"], dim)[np.argsort(t["id"].to_numpy())]
-            tree = _fitted(x, t["n"][0].as_py(), rows_a_shard, seed + level)
-            return pa.table({"shard": t["shard"].slice(0, 1), "tree": pa.array([pickle.dumps((tree.root, len(tree.leaves)))], pa.binary()), "leaves": pa.array([len(tree.leaves)], pa.int32())})
-
         share = F.least(F.lit(1.0), F.least(F.lit(most_sample), F.ceil(F.col("n") / rows_a_shard) * SAMPLE_A_SHARD) / F.col("n"))
         drawn = _sampled(homed.join(over, "shard"), seed + level, share).select("shard", "id", "vec", "n")
-        trees = settle(drawn.groupBy("shard").applyInArrow(fit, "shard long, tree binary, leaves int").where("leaves > 1").select("shard", "tree"))
+        trees = settle(drawn.groupBy("shard").applyInArrow(_fit(dim, rows_a_shard, seed + level), "shard long, tree binary, leaves int").where("leaves > 1").select("shard", "tree"))
         if not trees.limit(1).count():
             break
 
