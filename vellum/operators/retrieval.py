@@ -1,8 +1,8 @@
 """Retrieval quality: ranks of the relevant rows of every query, average precision, precision and accuracy at k.
 
-The similarity matrix is never a table. Rows are dealt into blocks; a task multiplies one block of queries with
-one block of the gallery. A first pass keeps the similarities of the relevant pairs, a second counts for
-each of them the gallery rows ranked before it, and the counts of the blocks add up to exact ranks.
+The similarity matrix is never a table. A first pass keeps the similarities of the relevant pairs, which lie within labels, a
+hot label being cut into blocks; a second multiplies blocks of queries with blocks of the gallery and counts for each
+relevant pair the gallery rows ranked before it. The counts of the blocks add up to exact ranks.
 """
 
 from __future__ import annotations
@@ -34,6 +34,20 @@ def _blocks(queries: DataFrame, gallery: DataFrame, n: int) -> DataFrame:
     return g.unionByName(q, allowMissingColumns=True)
 
 
+def _label_blocks(lean: DataFrame, rows_in_all: int) -> DataFrame:
+    """Rows (grp, lb, qb, gb, is_query, ...): labels dealt into buckets, each bucket's blocks of queries beside its blocks of the gallery.
+
+    A label lies in one bucket, so all its pairs meet; a bucket that a hot label makes large is cut.
+    """
+    dealt = lean.withColumn("lb", F.pmod(F.xxhash64("label"), F.lit(max(1, -(-rows_in_all // BLOCK)))).cast("int"))
+    cuts = dealt.groupBy("grp", "lb").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
+    held = dealt.join(cuts, ["grp", "lb"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    all_ = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    g = held.withColumn("qb", all_).withColumn("gb", F.col("own")).withColumn("is_query", F.lit(False))
+    q = held.withColumn("gb", all_).withColumn("qb", F.col("own")).withColumn("is_query", F.lit(True))
+    return g.unionByName(q).drop("own", "cuts")
+
+
 def _relevant(t: pa.Table) -> pa.Table:
     q, g = t.filter(t["is_query"]), t.filter(pa.array(~t["is_query"].to_numpy()))
     qi, gi = q["id"].to_numpy(), g["id"].to_numpy()
@@ -82,7 +96,7 @@ def relevant_ranks(rows: DataFrame, row: str, vec: str, label: str, junk: Column
     rows_in_all = lean.count()
     # blocks small enough for memory, and pairs of blocks enough for the cores
     n = max(1, -(-rows_in_all // BLOCK), min(-(-rows_in_all // 256), math.ceil(math.sqrt(2 * rows.sparkSession.sparkContext.defaultParallelism))))
-    pairs = settle(_blocks(lean, lean, n).groupBy("grp", "qb", "gb").applyInArrow(_relevant, "qid long, gid long, sim double"))
+    pairs = settle(_label_blocks(lean, rows_in_all).groupBy("grp", "lb", "qb", "gb").applyInArrow(_relevant, "qid long, gid long, sim double"))
     marks = pairs.groupBy(F.col("qid").alias("id")).agg(F.collect_list(F.struct("gid", "sim")).alias("marks"))
     asking = lean.join(marks, "id")
     counts = _blocks(asking, lean, n).groupBy("grp", "qb", "gb").applyInArrow(_ahead, "qid long, gid long, ahead long, junk_ahead long")

@@ -17,6 +17,7 @@ from vellum.operators.skew import balanced_positions
 from vellum.plans.problems import MODELS, trim
 from vellum.runtime import settle
 from vellum.sources import folders, matrices, plugins
+from vellum.streaming import meters as streams
 
 # In SQL "round(...) + 0" makes a negative zero plain, which Spark's rounding never gives.
 TIE = 1e-9  # moves means of short decimals off the boundary of rounding, on both sides alike
@@ -566,6 +567,20 @@ def run_lengths(s, d):
     return meters.run_lengths(table(s, d, "events"), "user_id", "event_id", "event_type").select("user_id", "run", "event_type", "n", "ends")
 
 
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, round(avg(value) + 1e-9::DOUBLE, 6) AS avg, max(value) AS max, count(value) AS n FROM events GROUP BY 1, 2")
+def stream_windows(s, d):
+    # the table as a stream that is read to its end; the SQL says the same of the table
+    path, name = (f"{d}/events.parquet", "*.parquet") if _is_folder(s, f"{d}/events.parquet") else (d, "events.parquet")
+    stream = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", name).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    made = streams.finished(streams.windowed_means(stream, "ts", "event_type", "value", "1 day", "60 days"))
+    return made.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", F.round(F.col("avg") + TIE, 6).alias("avg"), "max", "n")
+
+
+def _is_folder(s, path: str) -> bool:
+    where = s._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
 # ---- schedules and losses
 @query("SELECT i AS step, round(CASE WHEN i < 20 THEN 0.0005::DOUBLE * i / 19 ELSE 1e-6::DOUBLE + 0.5 * (0.0005::DOUBLE - 1e-6::DOUBLE) * (1 + cos(pi() * (i - 20) / 180)) END, 9) AS value FROM range(200) t(i)")
 def cosine_schedule(s, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vellum.runtime import shared_folder
+
 TRAILING = 20
 
 
@@ -17,6 +20,20 @@ def windowed_means(stream: DataFrame, at: str, name: str, value: str, width: str
     return stream.withWatermark(at, late).groupBy(F.window(at, width), name).agg(F.avg(value).alias("avg"), F.max(value).alias("max"), F.count(value).alias("n")).select("window.start", "window.end", name, "avg", "max", "n")
 
 
+def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """What the stream has given when all that is there now has been read: each batch is written, the last one counts in "complete" mode.
+
+    Checkpoint and batches lie in the shared folder, so the run survives lost executors.
+    """
+    spark, home = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/batches/{n if mode != 'complete' else 0}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{home}/batches")
+
+
 def _trail(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     held, total, count = state.get if state.exists else ([], 0.0, 0)
     held = list(held)
