@@ -84,3 +84,21 @@ def test_whole_words_are_respelled_on_demand(spark):
     kept, changed = (L.consistent_text(df, "text", ["id"], respell_whole=w).first() for w in (False, True))
     assert kept["consistent_text"] == text and kept["n_whole_script"] == 1 and kept["findings"] == changed["findings"] == 0
     assert changed["consistent_text"] == "a long plain text about cop and \u0441\u043b\u043e\u0432\u043e"
+
+
+def test_workers_need_no_copy_of_the_package(folder, tmp_path):
+    """From a folder where the package can't be found by name, as on executors."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+from vellum.llm.queries import queries
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("ROWS", *[queries()[n](spark, {folder!r}).count() for n in ("p10_texts", "p9_found", "p6_found")])
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]
