@@ -16,8 +16,8 @@ from vellum.llm.routing import OVER, routed
 from vellum.llm.vectors import VantageTree, distance, folded_copies, from_binary, unit_vectors
 from vellum.runtime import settle
 
-SHARD_ROWS = 1 << 15  # rows of a shard that the routing aims at: large, so that a ball touches few
-QUERY_ROWS = 1 << 14  # queries that one task searches in a shard at most
+SHARD_ROWS = 1 << 13  # rows of a shard that the routing aims at
+QUERY_ROWS = 1 << 15  # queries that one task searches in a shard at most
 FACTOR = 0.25  # measured: recall 1.0 of pairs with cosine >= 0.975, see README
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.vectors import VantageTree, from_binary
-from vellum.runtime import fan_out, settle, shared
+from vellum.runtime import settle, shared
 
 SAMPLE_A_SHARD = 256
 MOST_SAMPLE = 1 << 16  # rows on which one tree is fitted, at most; so a tree has at most 256 leaves
@@ -116,7 +116,7 @@ def routed(points: DataFrame, n: int, dim: int, rows_a_shard: int, seed: int, mo
     some = _sampled(points, seed, F.lit(min(1.0, 1.3 * want / max(1, n)))).limit(want)
     first = _fitted(from_binary(some.select("vec").toArrow()["vec"], dim), n, rows_a_shard, seed)
     routing = Routing(spark, dim, first, [])
-    homed = settle(routing.homes(points.repartition(fan_out(spark))))
+    homed = settle(routing.homes(points))
     for level in range(1, MOST_LEVELS):
         over = settle(homed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OVER * rows_a_shard))
         if not over.limit(1).count():
