@@ -113,7 +113,8 @@ def routed(points: DataFrame, n: int, dim: int, rows_a_shard: int, seed: int, mo
     """
     spark = points.sparkSession
     want = min(most_sample, n, max(1, -(-n // rows_a_shard)) * SAMPLE_A_SHARD)
-    some = _sampled(points, seed, F.lit(min(1.0, 1.3 * want / max(1, n)))).limit(want)
+    # in hash order, so that the same rows give the same tree whatever their layout
+    some = _sampled(points, seed, F.lit(min(1.0, 1.3 * want / max(1, n)))).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(want)
     first = _fitted(from_binary(some.select("vec").toArrow()["vec"], dim), n, rows_a_shard, seed)
     routing = Routing(spark, dim, first, [])
     homed = settle(routing.homes(points))
