@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 
 from vellum.llm import clusters, neighbours, routing
@@ -197,3 +199,41 @@ def test_modularity_moves_end_when_none_gains(spark, monkeypatch):
         # moves of a higher level may leave single nodes with a gain, as in every such method; communities never
         assert not merging and len(moving) <= 8
         assert all(len({place[n] for n in range(g, g + 8)}) == 1 for g in range(0, 240, 8))
+
+
+def settled_bytes(spark, made):
+    from vellum import runtime
+
+    home = Path(runtime.shared_folder(spark).removeprefix("file://"))
+    size = lambda: sum(f.stat().st_size for f in home.rglob("*.parquet"))
+    before = size()
+    rows = made().collect()
+    return size() - before, rows
+
+
+def test_pairs_need_little_disk_and_miss_nothing(spark, tmp_path):
+    """All pairs of 12 copies, as the SQL has them, and no copy of the vectors on disk."""
+    from vellum.llm.queries import p6_found
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(2000, 96))
+    x = np.vstack([base, base[:500] + 0.1 * rng.normal(size=(500, 96)), np.repeat(base[:1], 12, axis=0)])
+    frame(spark, x, unusable()).write.parquet(f"{tmp_path}/mapping.parquet")
+    wrote, rows = settled_bytes(spark, lambda: p6_found(spark, str(tmp_path)))
+    u = unit(x)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(u @ u.T >= 0.975), strict=True) if a < b}
+    assert {(r["row_a"], r["row_b"]) for r in rows} == want and len(rows) == len(want) > 500
+    assert wrote < x.size * 4 / 2
+
+
+def test_close_pairs_over_cuts_and_levels(spark, monkeypatch):
+    monkeypatch.setattr(routing, "SLOTS", 8)
+    monkeypatch.setattr(neighbours, "PAIR_QUERY_ROWS", 50)
+    # 200 vectors that all but coincide can't be divided, only cut
+    x = np.vstack([data(9, 20, 30), data(6, 1, 1) + np.random.default_rng(2).normal(size=(200, DIM)) * 1e-6])
+    u = unit(x)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(u @ u.T >= 0.95), strict=True) if a < b}
+    got = neighbours.close_pairs(frame(spark, x, unusable()), "row_id", "vec", DIM, 0.95, factor=1.0, shard_rows=20).collect()
+    assert {(r["row_a"], r["row_b"]) for r in got} == want and len(got) == len(want)
+    assert all(abs(r["cosine"] - u[r["row_a"]] @ u[r["row_b"]]) < 1e-9 for r in got)
+    assert neighbours.close_pairs(frame(spark, x).limit(0), "row_id", "vec", DIM, 0.95).count() == 0

@@ -7,17 +7,21 @@ ball of that reach, shrunk by ``factor``, still touches. Factor one is exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.routing import OVER, routed
-from vellum.llm.vectors import VantageTree, distance, folded_copies, from_binary, unit_vectors
+from vellum.llm.routing import OVER, routed, sampled
+from vellum.llm.vectors import VantageTree, decoded, distance, folded_copies, from_binary, unit_vectors
 from vellum.runtime import settle
 
 SHARD_ROWS = 1 << 13  # rows of a shard that the routing aims at
+PAIR_SHARD_ROWS = 1 << 16  # the same for pairs, where a row is a fourth as large; larger shards are visited less
 QUERY_ROWS = 1 << 15  # queries that one task searches in a shard at most
+PAIR_QUERY_ROWS = 1 << 19  # the same for pairs
 FACTOR = 0.25  # measured: recall 1.0 of pairs with cosine >= 0.975, see README
 
 
@@ -118,3 +122,71 @@ def most_similar(df: DataFrame, row_id: str, vec: str, dim: int, k: int, queries
     expanded = asked.join(short, F.col("rep") == F.col("qid")).where("id <> neighbour_id")
     ranked = expanded.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "neighbour_id"))).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias(row_id), "neighbour_id", F.col("cos").alias("cosine"), F.col("rank").cast("int").alias("rank"))
+
+
+def _close(dim: int, least: float, factor: float, leaf_rows: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        points, queries = t.filter(t["answers"]).sort_by("id"), t.filter(t["asks"])
+        if not len(points) or not len(queries):
+            return
+        x, off = decoded(points["code"], dim)
+        ids, off, tree = points["id"].to_numpy(), off.max(), VantageTree(x, leaf_rows, seed)
+        for at in range(0, len(queries), 1 << 15):
+            asked = queries.slice(at, 1 << 15)
+            q, far = decoded(asked["code"], dim)
+            own, here = asked["id"].to_numpy(), asked["here"].to_numpy()
+            # what the bytes leave open is left to the exact comparison
+            short = far + off
+            for r, c in tree.within(q, (least - short - 1e-6).astype(np.float32), distance(least) + short, factor):
+                # two rows of one shard both ask
+                kept = (own[r] < ids[c]) | (~here[r] & (own[r] != ids[c]))
+                a, b = own[r[kept]], ids[c[kept]]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["row_a", "row_b"])
+
+    return run
+
+
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 2000):
+            part = b.slice(at, 2000)
+            x, y = (np.asarray(part.column(n).flatten(), np.float64).reshape(part.num_rows, -1) for n in ("vec_a", "vec_b"))
+            cos = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+            yield pa.record_batch([part.column("row_a"), part.column("row_b"), pa.array(cos)], names=["row_a", "row_b", "cosine"])
+
+
+def close_pairs(df: DataFrame, row_id: str, vec: str, dim: int, least_cosine: float, factor: float = FACTOR, shard_rows: int = PAIR_SHARD_ROWS) -> DataFrame:
+    """(row_a, row_b, cosine), row_a < row_b: every pair of rows with cosine >= ``least_cosine`` (above 0), each once, copies too.
+
+    Shards are visited as in :func:`most_similar`, but a visitor is a byte an element, and a shard's pairs are those that
+    the bytes don't rule out; these few are compared by their vectors. The vectors themselves are read from ``df`` as
+    often as they are needed and neither written nor shuffled, but those of the few pairs. Unusable vectors and rows without an id have
+    no pairs; ids are taken to be unique. With ``factor`` one the result is exact.
+    """
+    spark = df.sparkSession
+    units = unit_vectors(df, row_id, vec, dim)
+    n = df.where(F.col(f"`{row_id}`").isNotNull() & (F.size(f"`{vec}`") == dim)).count()
+    if not n:
+        return spark.createDataFrame([], "row_a long, row_b long, cosine double")
+    seed = 7
+    _, routing = routed(units, n, dim, shard_rows, seed, draw=lambda share: unit_vectors(sampled(df, seed, share, row_id), row_id, vec, dim))
+    reach = distance(least_cosine) + 1e-6
+
+    loads = routing.spread(units, reach, factor, bare=True).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if("here").alias("n_here"))
+    # a row a shard, of shards that have rows of their own
+    cuts = settle(loads.where("n_here > 0").select("shard", F.ceil(F.col("n") / PAIR_QUERY_ROWS).cast("int").alias("q_cuts"), F.ceil(F.col("n_here") / (OVER * shard_rows)).cast("int").alias("p_cuts")))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    dealt = routing.spread(units, reach, factor).join(cuts, "shard").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("q_cuts")).cast("int"))
+    home = F.when(F.col("here"), F.pmod(F.xxhash64("id"), F.col("p_cuts")).cast("int"))
+    # a row asks in every cut of a shard, and answers all that ask in its own
+    placed = dealt.withColumn("home", home).withColumn("pc", F.explode(upto("p_cuts")))
+    answers = F.coalesce(F.col("home") == F.col("pc"), F.lit(False))
+    placed = placed.withColumn("answers", answers).withColumn("qc", F.explode(F.when(F.col("answers"), upto("q_cuts")).otherwise(F.array("own"))))
+    cells = placed.select("shard", "pc", "qc", "id", "code", "here", "answers", (F.col("qc") == F.col("own")).alias("asks"))
+    maybe = settle(cells.groupBy("shard", "pc", "qc").applyInArrow(_close(dim, least_cosine, factor, 128, 11), "row_a long, row_b long").distinct())
+
+    named = maybe.select(F.explode(F.array("row_a", "row_b")).alias("id")).distinct()
+    vectors = df.select(F.col(f"`{row_id}`").cast("long").alias("id"), F.col(f"`{vec}`").cast("array<float>").alias("v")).join(named, "id", "left_semi")
+    both = maybe.join(vectors.select(F.col("id").alias("row_a"), F.col("v").alias("vec_a")), "row_a").join(vectors.select(F.col("id").alias("row_b"), F.col("v").alias("vec_b")), "row_b")
+    return both.select("row_a", "row_b", "vec_a", "vec_b").mapInArrow(_cosines, "row_a long, row_b long, cosine double").where(F.col("cosine") >= least_cosine)

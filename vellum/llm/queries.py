@@ -123,8 +123,7 @@ def p3_communities(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- 6: most similar vectors for every vector
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbours.most_similar(table(spark, d, "mapping"), "row_id", "vec", DIM, 5, least_cosine=0.975)
-    return near.select(F.least("row_id", "neighbour_id").alias("row_a"), F.greatest("row_id", "neighbour_id").alias("row_b")).distinct()
+    return neighbours.close_pairs(table(spark, d, "mapping"), "row_id", "vec", DIM, 0.975).select("row_a", "row_b")
 
 
 def p6_similar(spark: SparkSession, d: str) -> DataFrame:

@@ -47,6 +47,25 @@ def from_binary(col, dim: int, dtype=np.float32) -> np.ndarray:
     return np.frombuffer(col.buffers()[2], dtype, (ends[-1] - ends[0]) // np.dtype(dtype).itemsize, ends[0]).reshape(len(col), dim)
 
 
+def coded(x: np.ndarray) -> np.ndarray:
+    """Unit rows as bytes: a byte an element, then the row's distance from the unit vector that these give, as float32."""
+    k = np.rint(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
+    err = np.linalg.norm(x.astype(np.float64) - _of_bytes(k), axis=1) + 1e-6
+    return np.hstack([k.view(np.uint8), err.astype(np.float32)[:, None].view(np.uint8)])
+
+
+def _of_bytes(k: np.ndarray) -> np.ndarray:
+    k = k.astype(np.float32)
+    k /= np.sqrt(np.einsum("ij,ij->i", k, k))[:, None]
+    return k
+
+
+def decoded(col, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit rows, their distance at most from the rows that :func:`coded` was given)."""
+    raw = from_binary(col, dim + 4, np.uint8)
+    return _of_bytes(raw[:, :dim].view(np.int8)), np.ascontiguousarray(raw[:, dim:]).view(np.float32)[:, 0]
+
+
 def unit_vectors(df: DataFrame, row_id: str, vec: str, dim: int) -> DataFrame:
     """(id, vec BINARY): the usable vectors at unit length as float32 bytes.
 
@@ -72,6 +91,16 @@ def distance(cosine: float) -> float:
     return math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
 
 
+BLOCK = 1 << 22  # products that are held at once
+
+
+def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct keys and the values of each."""
+    order = np.argsort(keys, kind="stable")
+    names, starts = np.unique(keys[order], return_index=True)
+    return names, np.split(values[order], starts[1:]) if len(names) else []
+
+
 class VantageTree:
     """Vantage-point tree over rows of a matrix of unit vectors; Euclidean distance.
 
@@ -146,8 +175,11 @@ class VantageTree:
         go(self.root, np.arange(len(q)))
         return out
 
-    def near_leaves(self, q: np.ndarray, reach: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row of q, leaf) not pruned for balls of radius ``reach``."""
+    def near_leaves(self, q: np.ndarray, reach: np.ndarray, factor: float, flat: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of q, leaf) not pruned for balls of radius ``reach``.
+
+        With ``flat`` products with the vantage point prune too: rows no further apart than the reach differ by no more in them either.
+        """
         rows, leaves = [], []
 
         def go(node, at):
@@ -160,12 +192,31 @@ class VantageTree:
             vp, mu, left, right = node
             d = np.sqrt(np.maximum(0, 2 - 2 * q[at] @ vp))
             margin = factor * reach[at] + self.SLACK
-            go(left, at[d - margin <= mu])
-            go(right, at[d + margin >= mu])
+            inner, outer = d - margin <= mu, d + margin >= mu
+            if flat:
+                past = (mu * mu - d * d) / 2
+                inner, outer = inner & (past >= -margin), outer & (past <= margin)
+            go(left, at[inner])
+            go(right, at[outer])
 
         go(self.root, np.arange(len(q)))
         return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, int), np.zeros(0, np.int32))
 
+    def within(self, q: np.ndarray, least: np.ndarray, reach: np.ndarray, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (row of q, row of the tree) whose product is at least that of ``least`` for the row of q, some leaves' worth at a time.
+
+        Balls of radius ``reach`` prune, as in :meth:`near_leaves`.
+        """
+        asks, leaves = self.near_leaves(q, reach, factor, flat=True)
+        for leaf, at in zip(*_runs(leaves, asks), strict=True):
+            rows = self.leaves[leaf]
+            step = max(1, BLOCK // len(rows))
+            for b in range(0, len(at), step):
+                a = at[b : b + step]
+                r, c = np.nonzero(q[a] @ self.x[rows].T >= least[a, None])
+                if len(r):
+                    yield a[r], rows[c]
+
     def nearest(self, q: np.ndarray, k: int, reach: np.ndarray, factor: float, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, ids) of the k nearest rows of each row of q within ``reach``, -2 and -1 where there are fewer.
 
