@@ -78,6 +78,31 @@ def test_public_confusables(spark):
         assert L.consistent(text, known=known)[0] == L.consistent(text)[0]
 
 
+def test_no_tables_without_the_library(monkeypatch):
+    """Texts without Unicode's confusables would look like results."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(L, "_public", [])
+    spoof = SimpleNamespace(Builder=SimpleNamespace())  # a class that isn't there is a package, which can't be called
+    jvm = SimpleNamespace(com=SimpleNamespace(ibm=SimpleNamespace(icu=SimpleNamespace(text=SimpleNamespace(SpoofChecker=spoof)))))
+    for session in (SimpleNamespace(), SimpleNamespace(_jvm=None), SimpleNamespace(_jvm=jvm)):
+        with pytest.raises(RuntimeError, match="confusables"):
+            L.public_tables(session)
+    assert not L._public
+
+
+def test_no_script_is_passed_over(monkeypatch):
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(L, "_public", [])
+    builder = SimpleNamespace(build=lambda: SimpleNamespace(getSkeleton=lambda x: x))
+    text = SimpleNamespace(SpoofChecker=SimpleNamespace(Builder=lambda: builder))
+    script = SimpleNamespace(values=lambda: [SimpleNamespace(name=lambda: "NO_SUCH_SCRIPT")])
+    jvm = SimpleNamespace(com=SimpleNamespace(ibm=SimpleNamespace(icu=SimpleNamespace(text=text))), java=SimpleNamespace(lang=SimpleNamespace(Character=SimpleNamespace(UnicodeScript=script))))
+    with pytest.raises(regex.error):
+        L.public_tables(SimpleNamespace(_jvm=jvm))
+
+
 def test_whole_words_are_respelled_on_demand(spark):
     text = "a long plain text about \u0441\u043e\u0440 and \u0441\u043b\u043e\u0432\u043e"
     df = spark.createDataFrame([(1, text)], "id long, text string")

@@ -92,23 +92,22 @@ def public_tables(spark: SparkSession) -> Tables:
     """All scripts and Unicode's list of confusables, which Spark's own library of Unicode data (ICU) holds, with the fixed look-alikes.
 
     Letters of one skeleton look alike; in another script the one of the same category with the least code point is the
-    spelling. Where the library is out of reach (no JVM beside the driver) the fixed look-alikes stand alone.
+    spelling. Where the library is out of reach (no JVM beside the driver) that is an error, as the fixed look-alikes alone would
+    give other texts; who wants those takes :func:`typed_tables`.
     """
     if not _public:
         try:
             jvm = spark._jvm
             skeletons = jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton
             names = [str(x.name()) for x in jvm.java.lang.Character.UnicodeScript.values()]
-        except (AttributeError, TypeError, Py4JError):
-            return typed_tables()
+        except (AttributeError, TypeError, Py4JError) as e:
+            raise RuntimeError("look-alikes need Unicode's confusables, but Spark's ICU library can't be reached from here") from e
         letters = _letters()
         joined, own, uses = "".join(letters), {}, {}
         for name in sorted(set(names) - {"COMMON", "INHERITED", "UNKNOWN"}):
             title = name.title()
-            try:
-                members, users = regex.compile(r"\p{Script=%s}" % name), regex.compile(r"\p{Script_Extensions=%s}" % name)
-            except regex.error:
-                continue
+            # a script that is unknown here is an error too: its letters would pass for letters of no script
+            members, users = regex.compile(r"\p{Script=%s}" % name), regex.compile(r"\p{Script_Extensions=%s}" % name)
             own.update((c, title) for c in members.findall(joined))
             for c in users.findall(joined):
                 uses.setdefault(c, set()).add(title)
