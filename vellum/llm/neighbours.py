@@ -132,8 +132,8 @@ def _close(dim: int, least: float, factor: float, leaf_rows: int, seed: int):
             return
         x, off = decoded(points["code"], dim)
         ids, off, tree = points["id"].to_numpy(), off.max(), VantageTree(x, leaf_rows, seed)
-        for at in range(0, len(queries), 1 << 15):
-            asked = queries.slice(at, 1 << 15)
+        for at in range(0, len(queries), 1 << 14):
+            asked = queries.slice(at, 1 << 14)
             q, far = decoded(asked["code"], dim)
             own, here = asked["id"].to_numpy(), asked["here"].to_numpy()
             # what the bytes leave open is left to the exact comparison

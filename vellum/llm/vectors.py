@@ -91,14 +91,7 @@ def distance(cosine: float) -> float:
     return math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
 
 
-BLOCK = 1 << 22  # products that are held at once
-
-
-def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The distinct keys and the values of each."""
-    order = np.argsort(keys, kind="stable")
-    names, starts = np.unique(keys[order], return_index=True)
-    return names, np.split(values[order], starts[1:]) if len(names) else []
+BLOCK = 1 << 21  # products that are held at once
 
 
 class VantageTree:
@@ -175,6 +168,16 @@ class VantageTree:
         go(self.root, np.arange(len(q)))
         return out
 
+    @staticmethod
+    def _sides(q: np.ndarray, vp: np.ndarray, mu: float, margin: np.ndarray, flat: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows must look inside the boundary, and which outside."""
+        d = np.sqrt(np.maximum(0, 2 - 2 * q @ vp))
+        inner, outer = d - margin <= mu, d + margin >= mu
+        if flat:
+            past = (mu * mu - d * d) / 2
+            inner, outer = inner & (past >= -margin), outer & (past <= margin)
+        return inner, outer
+
     def near_leaves(self, q: np.ndarray, reach: np.ndarray, factor: float, flat: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of q, leaf) not pruned for balls of radius ``reach``.
 
@@ -190,12 +193,7 @@ class VantageTree:
                 leaves.append(np.full(len(at), node, np.int32))
                 return
             vp, mu, left, right = node
-            d = np.sqrt(np.maximum(0, 2 - 2 * q[at] @ vp))
-            margin = factor * reach[at] + self.SLACK
-            inner, outer = d - margin <= mu, d + margin >= mu
-            if flat:
-                past = (mu * mu - d * d) / 2
-                inner, outer = inner & (past >= -margin), outer & (past <= margin)
+            inner, outer = self._sides(q[at], vp, mu, factor * reach[at] + self.SLACK, flat)
             go(left, at[inner])
             go(right, at[outer])
 
@@ -203,13 +201,21 @@ class VantageTree:
         return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, int), np.zeros(0, np.int32))
 
     def within(self, q: np.ndarray, least: np.ndarray, reach: np.ndarray, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (row of q, row of the tree) whose product is at least that of ``least`` for the row of q, some leaves' worth at a time.
+        """Pairs (row of q, row of the tree) whose product is at least that of ``least`` for the row of q, a block of a leaf at a time.
 
         Balls of radius ``reach`` prune, as in :meth:`near_leaves`.
         """
-        asks, leaves = self.near_leaves(q, reach, factor, flat=True)
-        for leaf, at in zip(*_runs(leaves, asks), strict=True):
-            rows = self.leaves[leaf]
+        stack = [(self.root, np.arange(len(q)))]
+        while stack:
+            node, at = stack.pop()
+            if not len(at):
+                continue
+            if not isinstance(node, int):
+                vp, mu, left, right = node
+                inner, outer = self._sides(q[at], vp, mu, factor * reach[at] + self.SLACK, True)
+                stack += [(right, at[outer]), (left, at[inner])]
+                continue
+            rows = self.leaves[node]
             step = max(1, BLOCK // len(rows))
             for b in range(0, len(at), step):
                 a = at[b : b + step]
